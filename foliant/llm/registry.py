@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from foliant.llm import langid, mixing, quality, simhash
+from foliant.llm import chat, decontam, langid, mixing, pii, quality, secrets, simhash
 
 QUERIES = {
+    "op1_pigeonhole_myers": decontam.op1,
     "op3_cube_mixing": mixing.op3,
+    "op4_schema_fingerprint": chat.op4,
+    "op6_bootstrapped_context": pii.op6,
+    "op7_markov_secrets": secrets.op7,
     "op8_suffix_repetition": quality.op8,
     "op9_simhash_multi_index": simhash.op9,
     "op10_language_bitmask": langid.op10,
