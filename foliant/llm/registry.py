@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from foliant.llm import chat, decontam, langid, mixing, pii, quality, secrets, simhash
+from foliant.llm import chat, decontam, langid, mixing, pii, quality, secrets, simhash, suffixes, warc
 
 QUERIES = {
     "op1_pigeonhole_myers": decontam.op1,
+    "op2_merkle_fixity": warc.op2,
     "op3_cube_mixing": mixing.op3,
     "op4_schema_fingerprint": chat.op4,
+    "op5_prefix_doubling": suffixes.op5,
     "op6_bootstrapped_context": pii.op6,
     "op7_markov_secrets": secrets.op7,
     "op8_suffix_repetition": quality.op8,
@@ -15,4 +17,4 @@ QUERIES = {
     "op10_language_bitmask": langid.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_merkle_fixity": warc.OP2_SQL}
