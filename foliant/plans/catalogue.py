@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from foliant.plans import bindings
+
+QUERIES = dict(bindings.QUERIES)
+ORACLE_SQL = dict(bindings.ORACLE_SQL)
