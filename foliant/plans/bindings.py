@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import ids, quantities, text
 from foliant.functions.vocabulary import ARTICLE, COMPARISON_PATTERNS, QUESTION_PATTERNS, REFERENCE_PATTERNS, SYNONYMS, TRAILING_PATTERNS
-from foliant.operators import changes, relational, reports, vector
+from foliant.operators import changes, chunking, layout, references, relational, reports, tables, vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -450,3 +450,75 @@ def id_grammar(read):
     got = read("part").select("p_partkey", made.alias("id"))
     i, typed = F.col("id"), F.concat(F.lit("IES "), F.col("id"))
     return got.select("p_partkey", "id", ids.family(i).alias("family"), ids.edition(i).alias("edition"), ids.errata(i).alias("errata"), typed.alias("typed"), ids.normalized_id(F.lower(typed)).alias("normalized"), ids.id_from_title(F.concat(F.lit("See ANSI/IES "), i, F.lit(" for more"))).alias("from_title"))
+
+
+# ---------------------------------------------------------------- documents
+
+_CITE = """(SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'See ANSI/IES RP-' || p_size || '-20, Table 1' WHEN 1 THEN 'IES RP-' || p_size || ' (editionless)' WHEN 2 THEN 'doi 10.1000/' || p_partkey || '). 2019'
+ WHEN 3 THEN 'at https://example.org/' || p_partkey || '.' WHEN 4 THEN 'IES TM-' || p_size || '-18 https://example.org/x' ELSE p_name END AS t FROM part)"""
+
+
+@query(f"""WITH std AS (SELECT DISTINCT 'RP-' || p_size || '-' || y AS id, CASE WHEN p_size % 3 = 0 AND y = '20' THEN NULL ELSE 'https://lib.example/' || p_size || '/' || y END AS web_url FROM part, (VALUES ('15'), ('20')) v(y) WHERE p_size <= 40),
+live AS (SELECT id, web_url, regexp_replace(id, '-[0-9]{{2}}$', '') AS family FROM std WHERE web_url IS NOT NULL), newest AS (SELECT family, max_by(web_url, id) AS web_url FROM live GROUP BY family),
+c AS (SELECT p_partkey, t, nullif(regexp_extract(t, 'IES ((?:RP|TM)-[0-9]+)', 1), '') AS family, nullif(regexp_extract(t, 'IES ((?:RP|TM)-[0-9]+(?:-[0-9]{{2}})?)', 1), '') AS cited,
+ nullif(rtrim(regexp_extract(t, '(10\.[0-9]{{4,9}}/[^ ]+)', 1), ').,;:]'), '') AS doi, nullif(rtrim(regexp_extract(t, '(https?://[^ )]+)', 1), '.,;:]'), '') AS url FROM {_CITE})
+SELECT p_partkey, coalesce(live.web_url, newest.web_url, 'https://doi.org/' || doi, url) AS link, CASE WHEN coalesce(live.web_url, newest.web_url) IS NOT NULL THEN 'library' WHEN doi IS NOT NULL THEN 'doi' WHEN url IS NOT NULL THEN 'url' END AS link_type
+FROM c LEFT JOIN live ON live.id = c.cited LEFT JOIN newest ON newest.family = c.family""")
+def reference_links(read):
+    p, k = read("part"), F.col("p_partkey") % 6
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    cat = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    t = F.when(k == 0, cat("See ANSI/IES RP-", size, "-20, Table 1")).when(k == 1, cat("IES RP-", size, " (editionless)")).when(k == 2, cat("doi 10.1000/", key, "). 2019")).when(k == 3, cat("at https://example.org/", key, ".")).when(k == 4, cat("IES TM-", size, "-18 https://example.org/x")).otherwise(F.col("p_name"))
+    years = p.where("p_size <= 40").select("p_size").distinct().select("p_size", F.explode(F.array(F.lit("15"), F.lit("20"))).alias("y"))
+    std = years.select(F.concat(F.lit("RP-"), F.col("p_size").cast("string"), F.lit("-"), "y").alias("id"), F.when(~((F.col("p_size") % 3 == 0) & (F.col("y") == "20")), F.concat(F.lit("https://lib.example/"), F.col("p_size").cast("string"), F.lit("/"), "y")).alias("web_url"), F.lit("Active").alias("status"))
+    return references.reference_links(p.select("p_partkey", t.alias("t")), "t", std).select("p_partkey", "link", "link_type")
+
+
+def _document_lines(read):
+    """Documents as pages of forty lines."""
+    d = read("documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    return d.select("doc_id", (F.floor(F.col("n") / 40) + 1).cast("int").alias("page"), F.col("n").alias("line_no"), "text", F.lit(None).cast("double").alias("x"))
+
+
+@query()
+def chunk_documents(read):
+    return chunking.chunk_documents(_document_lines(read))
+
+
+@query()
+def extract_tables(read):
+    titled = _document_lines(read).withColumn("text", F.when(F.col("line_no") % 20 == 0, F.concat(F.lit("Table A-"), F.col("page").cast("string"), F.lit(": data"))).otherwise(F.col("text")))
+    return tables.extract_tables(titled).select("doc_id", "page", "table_id", "title", F.size("rows").alias("n_rows"))
+
+
+@query()
+def layout_lines(read):
+    words = _document_lines(read).where("line_no < 80").select("doc_id", "page", (F.col("line_no") % 40).alias("row"), F.posexplode(F.split("text", " ")).alias("k", "text")).where("k < 12")
+    items = words.select("doc_id", "page", F.col("k").alias("item_no"), "text", (F.col("k") * 45.0 + 40).alias("x"), (760.0 - F.col("row") * 18).alias("y"), (F.length("text") * 5.0).alias("width"), F.lit(10.0).alias("font_size"), F.lit("Serif").alias("font_name"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"))
+    return layout.layout_lines(items).select("doc_id", "page", "line_no", "text", "x", "y")
+
+
+@query("""WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), p AS (SELECT source, unnest([0, (n - 1) // 2, n - 1]) AS o FROM c),
+h AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS o, doc_id FROM documents)
+SELECT source, count(*) AS probed, coalesce(string_agg(CASE WHEN doc_id % 3 = 0 THEN o END, ',' ORDER BY o), '') AS missing FROM (SELECT DISTINCT * FROM p) JOIN h USING (source, o) GROUP BY source""")
+def spot_check(read):
+    d = read("documents")
+    counts = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    numbered = d.withColumn("o", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    got = reports.spot_check(counts, numbered.where("doc_id % 3 <> 0"), "source", "n", "o")
+    return got.select("source", "probed", F.array_join("missing", ",").alias("missing"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'https://x/' || event_id WHEN event_id % 4 = 1 THEN 'https://d/1#a' || event_id WHEN event_id % 4 = 2 THEN 'https://d/1#page=' || (event_id % 9 + 1) ELSE 'https://d/1' END AS link FROM events""")
+def viewer_link(read):
+    e, k, key = read("events"), F.col("event_id") % 4, F.col("event_id").cast("string")
+    none = F.lit(None).cast("string")
+    link = references.viewer_link(F.when(k == 0, F.concat(F.lit("https://x/"), key)), F.lit("https://d/1"), F.when(k == 1, F.concat(F.lit("a"), key)).otherwise(none), F.when(k == 2, F.col("event_id") % 9 + 1).otherwise(F.lit(0)))
+    return e.select("event_id", link.alias("link"))
+
+
+@query("""SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'phrase:all rights reserved' ELSE '' END AS violations, CASE WHEN item_id % 3 = 0 THEN 'no location' ELSE '' END AS issues FROM benchmark""")
+def policy_checks(read):
+    said = F.when(F.col("item_id") % 2 == 0, "All Rights Reserved. x").otherwise("plain")
+    cited = F.when(F.col("item_id") % 3 == 0, "ANSI/IES RP-8-25").otherwise("ANSI/IES RP-8-25, p. 3")
+    return read("benchmark").select("item_id", F.array_join(text.policy_violations(said), ",").alias("violations"), F.array_join(text.citation_issues(cited), ",").alias("issues"))
