@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import ids, quantities, text
 from foliant.functions.vocabulary import ARTICLE, COMPARISON_PATTERNS, QUESTION_PATTERNS, REFERENCE_PATTERNS, SYNONYMS, TRAILING_PATTERNS
-from foliant.operators import changes, chunking, layout, references, relational, reports, tables, vector
+from foliant.operators import changes, chunking, layout, maintenance, references, relational, reports, tables, vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -522,3 +522,130 @@ def policy_checks(read):
     said = F.when(F.col("item_id") % 2 == 0, "All Rights Reserved. x").otherwise("plain")
     cited = F.when(F.col("item_id") % 3 == 0, "ANSI/IES RP-8-25").otherwise("ANSI/IES RP-8-25, p. 3")
     return read("benchmark").select("item_id", F.array_join(text.policy_violations(said), ",").alias("violations"), F.array_join(text.citation_issues(cited), ",").alias("issues"))
+
+
+# ---------------------------------------------------------------- lists and upkeep
+
+
+@query("SELECT p_partkey, p_name, p_brand FROM part WHERE p_type = 'PROMO' ORDER BY p_brand, p_name, p_partkey LIMIT 200")
+def table_list(read):
+    return maintenance.listed(read("part"), {"p_type": "PROMO", "p_size": None}, [F.col("p_brand"), F.col("p_name"), F.col("p_partkey")], ["p_partkey", "p_name", "p_brand"])
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 42")
+def point_lookup(read):
+    return maintenance.lookup(read("orders"), "o_orderkey", 42).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query("""SELECT c_custkey, coalesce(n, c_name) AS c_name, c_acctbal FROM customer LEFT JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'new ' || c_name END AS n FROM customer WHERE c_custkey % 3 = 0) ON c_custkey = k""")
+def metadata_sync(read):
+    c = read("customer").select("c_custkey", "c_name", "c_acctbal")
+    meta = c.where("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("new "), "c_name")).alias("c_name"))
+    return maintenance.synced(c, meta, "c_custkey", ["c_name"])
+
+
+def _editions(read):
+    year = F.col("p_partkey") % 15 + 2010
+    made = F.concat(F.lit("RP-"), F.col("p_size").cast("string"), F.lit("-"), F.substring(year.cast("string"), 3, 2))
+    return read("part").where("p_size <= 30").select(made.alias("id"), year.alias("year"), F.when(F.col("p_partkey") % 4 == 0, "Deprecated").otherwise("Active").alias("status")).distinct()
+
+
+_EDITIONS = """(SELECT DISTINCT 'RP-' || p_size || '-' || right(CAST(p_partkey % 15 + 2010 AS VARCHAR), 2) AS id, p_partkey % 15 + 2010 AS year, CASE WHEN p_partkey % 4 = 0 THEN 'Deprecated' ELSE 'Active' END AS status, 'RP-' || p_size AS family FROM part WHERE p_size <= 30)"""
+
+
+@query(f"""WITH e AS {_EDITIONS}, b AS (SELECT family, arg_max(id, (year, id)) AS superseded_by FROM e WHERE status = 'Active' GROUP BY family) SELECT DISTINCT id, superseded_by FROM e LEFT JOIN b USING (family) WHERE status = 'Deprecated'""")
+def superseded_by(read):
+    e = _editions(read)
+    return maintenance.superseding(e.where("status = 'Deprecated'").select("id"), e)
+
+
+@query(f"""WITH e AS (SELECT DISTINCT id || CASE WHEN year % 2 = 0 THEN '+E1' ELSE '' END AS id, CASE year % 3 WHEN 0 THEN 'Own title' WHEN 1 THEN id || CASE WHEN year % 2 = 0 THEN '+E1' ELSE '' END END AS t, id AS base FROM {_EDITIONS})
+SELECT id, CASE WHEN t <> id THEN t ELSE 'Curated ' || base END AS title FROM e UNION ALL SELECT NULL, NULL WHERE false""")
+def title_precedence(read):
+    e = _editions(read).select("id", "year").distinct()
+    full = F.concat("id", F.when(F.col("year") % 2 == 0, "+E1").otherwise(""))
+    rows = e.select(full.alias("id"), F.when(F.col("year") % 3 == 0, "Own title").when(F.col("year") % 3 == 1, full).alias("title")).withColumn("title", F.coalesce("title", F.col("id")))
+    curated = e.select("id", F.concat(F.lit("Curated "), "id").alias("title")).distinct()
+    return maintenance.titled(rows, curated, "id", "title")
+
+
+@query("""SELECT source, count(*) AS seen, (SELECT string_agg(doc_id, ',' ORDER BY doc_id) FROM (SELECT doc_id FROM documents i WHERE i.source = d.source ORDER BY doc_id LIMIT 5)) AS sample FROM documents d GROUP BY source""")
+def seen_counts(read):
+    return maintenance.seen_per_owner(read("documents"), "source", "doc_id").select("source", "seen", F.array_join("sample", ",").alias("sample"))
+
+
+@query("""SELECT p_partkey, '{"p_partkey":' || p_partkey || ',"p_size":' || p_size || '}' AS snapshot FROM part WHERE p_partkey % 10 = 0""")
+def bulk_add_snapshot(read):
+    p = read("part").select("p_partkey", "p_size")
+    return maintenance.with_snapshot(p.where("p_partkey % 10 = 0").select("p_partkey"), p, "p_partkey").select("p_partkey", "snapshot")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') THEN TIMESTAMP '2024-06-01' ELSE TIMESTAMP '2024-01-01' END AS modified_at FROM customer""")
+def touch_modified(read):
+    projects = read("customer").select("c_custkey", F.expr("timestamp_ntz'2024-01-01'").alias("modified_at"))
+    return maintenance.touched(projects, read("orders").where("o_orderpriority like '1%'"), "c_custkey", "o_custkey", "modified_at", F.expr("timestamp_ntz'2024-06-01'"))
+
+
+@query("""WITH f AS (SELECT 'x/' || p_partkey || '.pdf' AS path, 'RP-' || p_size AS id, p_partkey % 3 = 0 AS e, p_retailprice AS size FROM part)
+SELECT path, id || '.pdf' AS target, CASE WHEN row_number() OVER (PARTITION BY id ORDER BY e DESC, size DESC, path) > 1 THEN 'conflict' ELSE 'rename' END AS action FROM f""")
+def rename_plan(read):
+    files = read("part").select(F.concat(F.lit("x/"), F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("path"), F.concat(F.lit("RP-"), F.col("p_size").cast("string")).alias("id"), (F.col("p_partkey") % 3 == 0).alias("has_errata"), F.col("p_retailprice").alias("size"))
+    return maintenance.rename_plan(files)
+
+
+@query("""WITH g AS (SELECT lower(p_name) AS k, max(p_size) AS v FROM part WHERE p_partkey % 2 = 0 AND p_size < 48 GROUP BY 1)
+SELECT p_partkey, CASE WHEN k IS NULL THEN 'missing' WHEN abs(p_size - v) <= 1 THEN 'match' ELSE 'differs' END AS state FROM part LEFT JOIN g ON lower(p_name) = k WHERE p_partkey % 2 = 1""")
+def extraction_comparison(read):
+    p = read("part")
+    found = p.where("p_partkey % 2 = 1").withColumn("p_name", F.concat(F.lit(" "), F.upper("p_name"), F.lit("  ")))
+    return maintenance.compared_extraction(found, p.where("p_partkey % 2 = 0 and p_size < 48"), "p_name", "p_size").select("p_partkey", "state")
+
+
+@query("""WITH a AS (SELECT p_partkey, p_size FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT p_partkey, p_size + p_partkey % 7 AS p_size FROM part WHERE p_partkey % 4 <> 0)
+SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, a.p_size AS old, b.p_size AS new, floor((b.p_size - a.p_size) * 100.0 / a.p_size * 10 + 0.5) / 10 AS percent FROM a FULL JOIN b ON a.p_partkey = b.p_partkey""")
+def compare_applications(read):
+    p = read("part").select("p_partkey", F.col("p_size").cast("long").alias("p_size"))
+    return maintenance.compared_values(p.where("p_partkey % 5 <> 0"), p.where("p_partkey % 4 <> 0").withColumn("p_size", F.col("p_size") + F.col("p_partkey") % 7), "p_partkey", "p_size")
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ordinal, conv_id || '-chunk-' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS chunk_id FROM conversations")
+def chunk_vector_ids(read):
+    return maintenance.chunk_ids(read("conversations"), "conv_id", [F.col("turn")]).select("conv_id", "turn", "ordinal", "chunk_id")
+
+
+@query("SELECT p_partkey, CASE WHEN length(split_part(p_name, ' ', 2)) > length(split_part(p_name, ' ', 1)) THEN split_part(p_name, ' ', 2) ELSE split_part(p_name, ' ', 1) END AS term FROM part")
+def significant_term(read):
+    return read("part").select("p_partkey", maintenance.longest_word(F.col("p_name")).alias("term"))
+
+
+@query("SELECT p_partkey, least(levenshtein(split_part(p_name, ' ', 1), 'gren'), levenshtein(split_part(p_name, ' ', 2), 'gren')) AS edits FROM part WHERE least(levenshtein(split_part(p_name, ' ', 1), 'gren'), levenshtein(split_part(p_name, ' ', 2), 'gren')) <= 2")
+def fuzzy_match(read):
+    return maintenance.fuzzy(read("part"), "p_name", "Gren").select("p_partkey", "edits")
+
+
+@query("SELECT user_id, date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
+def rate_limit(read):
+    from foliant.streaming.log import over_limit
+
+    return over_limit(read("events"), "ts", "user_id", most=1, length="1 hour")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 20 THEN '{"cat":"P","lux":' || p_size || '}' END AS horizontal, array_to_string(list_filter([p_name, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_type END, p_brand], lambda x: x <> ''), ' → ') AS full_name FROM part""")
+def nested_projection(read):
+    plane = F.when(F.col("p_size") > 20, F.struct(F.lit("P").alias("cat"), F.col("p_size").alias("lux"), (F.col("p_size") / 10).alias("fc")))
+    rows = read("part").select("p_partkey", plane.alias("horizontal"), F.array_join(F.filter(F.array("p_name", F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.col("p_type")), "p_brand"), lambda x: F.coalesce(x, F.lit("")) != ""), " → ").alias("full_name"))
+    return maintenance.in_units(rows, ["horizontal"], "lux").withColumn("horizontal", F.to_json("horizontal"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'LZ' || (p_size % 5) END AS zone, CASE WHEN p_partkey % 3 = 1 THEN 'RP-' || p_size END AS family FROM part""")
+def inferred_filters(read):
+    k, size = F.col("p_partkey") % 3, F.col("p_size")
+    q = F.when(k == 0, F.concat(F.lit("plaza in lz "), (size % 5).cast("string"))).when(k == 1, F.concat(F.lit("what's new in rp-"), size.cast("string"), F.lit("?"))).otherwise(F.col("p_name"))
+    return read("part").select("p_partkey", ids.lighting_zone(q).alias("zone"), ids.cited_family(q).alias("family"))
+
+
+@query("""SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) <> 1 AND length(regexp_replace(d.text, '^\s+|\s+$', '', 'g')) >= 60
+AND length(regexp_replace(d.text, '[^0-9]', '', 'g')) / length(d.text) <= 0.22 AND length(regexp_replace(d.text, '[^A-Za-z]', '', 'g')) / length(d.text) >= 0.45""")
+def displayable_prose(read):
+    d = read("documents").join(read("labels").select("doc_id", "toxic"), "doc_id", "left")
+    return d.where((F.coalesce("toxic", F.lit(0)) != 1) & text.displayable(F.col("text"), F.lit("text"))).select("doc_id")
