@@ -52,10 +52,10 @@ def column_split(x: np.ndarray, right: np.ndarray, page_width: float) -> float |
     return middle
 
 
-def joined(words: pd.DataFrame) -> str:
-    """A line's text: a space where the gap to the last glyph is over a quarter of the font size."""
-    out, end = "", None
-    for text, x, width, size in words[["text", "x", "width", "font_size"]].itertuples(index=False):
+def joined(words: list[tuple[str, float, float, float]]) -> str:
+    """A line's text from (text, x, width, font size): a space where the gap to the last glyph is over a quarter of the font size."""
+    out, end = "", 0.0
+    for text, x, width, size in words:
         if out and x - end > 0.25 * size and not out[-1].isspace() and not text[0].isspace():
             out += " "
         out, end = out + text, x + width
@@ -64,27 +64,35 @@ def joined(words: pd.DataFrame) -> str:
 
 def page_lines(page: pd.DataFrame, skip: set[str]) -> pd.DataFrame:
     """The lines of one page in reading order."""
-    p = page[page["text"].fillna("").str.strip() != ""].copy()
-    if p.empty:
-        return pd.DataFrame(columns=[c.split()[0] for c in LINE_SCHEMA.split(", ")])
-    p["font_size"] = p["font_size"].abs().replace(0, np.nan).fillna(10.0)
-    p["width"] = p["width"].replace(0, np.nan).fillna(p["text"].str.len() * p["font_size"] * 0.5)
-    p["y"] = p["page_height"] - p["y"]
-    p["bold"] = p["font_name"].fillna("").str.lower().str.contains("bold|black|heavy") | (p["font_size"] > 14)
-    split = column_split(p["x"].to_numpy(float), (p["x"] + p["width"]).to_numpy(float), float(p["page_width"].iloc[0]))
-    p["column"] = 0 if split is None else (p["x"] >= split).astype(int)
+    names = ["doc_id", "page", "text", "x", "y", "width", "font_size", "font_name", "page_width", "page_height"]
+    doc, number, texts, xs, ys, widths, sizes, fonts, page_width, page_height = (page[n].to_numpy() for n in names)
+    items = []
+    for text, x, y, width, size, font in zip(texts, xs, ys, widths, sizes, fonts, strict=True):
+        if text and text.strip():
+            size = abs(size) if size == size and size else 10.0
+            width = width if width == width and width else len(text) * size * 0.5
+            heavy = any(w in (font or "").lower() for w in ("bold", "black", "heavy")) or size > 14
+            items.append((page_height[0] - y, x, text, width, size, heavy))
+    split = column_split(np.array([i[1] for i in items], float), np.array([i[1] + i[3] for i in items], float), float(page_width[0])) if items else None
     # items within three points are one line: each run of close heights is an island, read from left to right
-    p = p.sort_values(["column", "y", "x"], kind="stable")
-    new = (p["column"] != p["column"].shift()) | ((p["y"] - p["y"].shift()).abs() > 3)
-    rows = []
-    for _, group in p.groupby(new.cumsum(), sort=True):
-        group = group.sort_values("x", kind="stable")
-        text = joined(group)
+    rows, line, last = [], [], None
+
+    def close() -> None:
+        line.sort(key=lambda i: i[1])
+        text = joined([(i[2], i[1], i[3], i[4]) for i in line])
         if text and text.lower() not in skip:
-            rows.append((text, float(group["x"].iloc[0]), float(group["y"].iloc[0]), float(group["font_size"].mean()), bool(group["bold"].any())))
-    out = pd.DataFrame(rows, columns=["text", "x", "y", "font_size", "bold"])
-    first = p.iloc[0]
-    return pd.DataFrame({"doc_id": first["doc_id"], "page": int(first["page"]), "line_no": range(len(out)), **out, "page_width": float(first["page_width"]), "page_height": float(first["page_height"])})
+            rows.append((doc[0], int(number[0]), len(rows), text, line[0][1], line[0][0], sum(i[4] for i in line) / len(line), any(i[5] for i in line), float(page_width[0]), float(page_height[0])))
+        line.clear()
+
+    side = lambda i: split is not None and i[1] >= split
+    for item in sorted(items, key=lambda i: (side(i), i[0], i[1])):
+        if line and (side(item) != last[0] or item[0] - last[1] > 3):
+            close()
+        line.append(item)
+        last = (side(item), item[0])
+    if line:
+        close()
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in LINE_SCHEMA.split(", ")])
 
 
 def layout_lines(items: DataFrame) -> DataFrame:

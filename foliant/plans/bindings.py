@@ -461,7 +461,7 @@ _CITE = """(SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'See ANSI/IES RP-'
 @query(f"""WITH std AS (SELECT DISTINCT 'RP-' || p_size || '-' || y AS id, CASE WHEN p_size % 3 = 0 AND y = '20' THEN NULL ELSE 'https://lib.example/' || p_size || '/' || y END AS web_url FROM part, (VALUES ('15'), ('20')) v(y) WHERE p_size <= 40),
 live AS (SELECT id, web_url, regexp_replace(id, '-[0-9]{{2}}$', '') AS family FROM std WHERE web_url IS NOT NULL), newest AS (SELECT family, max_by(web_url, id) AS web_url FROM live GROUP BY family),
 c AS (SELECT p_partkey, t, nullif(regexp_extract(t, 'IES ((?:RP|TM)-[0-9]+)', 1), '') AS family, nullif(regexp_extract(t, 'IES ((?:RP|TM)-[0-9]+(?:-[0-9]{{2}})?)', 1), '') AS cited,
- nullif(rtrim(regexp_extract(t, '(10\.[0-9]{{4,9}}/[^ ]+)', 1), ').,;:]'), '') AS doi, nullif(rtrim(regexp_extract(t, '(https?://[^ )]+)', 1), '.,;:]'), '') AS url FROM {_CITE})
+ nullif(rtrim(regexp_extract(t, '(10\\.[0-9]{{4,9}}/[^ ]+)', 1), ').,;:]'), '') AS doi, nullif(rtrim(regexp_extract(t, '(https?://[^ )]+)', 1), '.,;:]'), '') AS url FROM {_CITE})
 SELECT p_partkey, coalesce(live.web_url, newest.web_url, 'https://doi.org/' || doi, url) AS link, CASE WHEN coalesce(live.web_url, newest.web_url) IS NOT NULL THEN 'library' WHEN doi IS NOT NULL THEN 'doi' WHEN url IS NOT NULL THEN 'url' END AS link_type
 FROM c LEFT JOIN live ON live.id = c.cited LEFT JOIN newest ON newest.family = c.family""")
 def reference_links(read):
@@ -644,7 +644,7 @@ def inferred_filters(read):
     return read("part").select("p_partkey", ids.lighting_zone(q).alias("zone"), ids.cited_family(q).alias("family"))
 
 
-@query("""SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) <> 1 AND length(regexp_replace(d.text, '^\s+|\s+$', '', 'g')) >= 60
+@query("""SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) <> 1 AND length(regexp_replace(d.text, '^\\s+|\\s+$', '', 'g')) >= 60
 AND length(regexp_replace(d.text, '[^0-9]', '', 'g')) / length(d.text) <= 0.22 AND length(regexp_replace(d.text, '[^A-Za-z]', '', 'g')) / length(d.text) >= 0.45""")
 def displayable_prose(read):
     d = read("documents").join(read("labels").select("doc_id", "toxic"), "doc_id", "left")
