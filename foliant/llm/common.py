@@ -24,16 +24,34 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared scratch folder and read it back.
 
     Parquet keeps column pruning and true sizes for later joins, and any executor
-    can read it again after another was lost.
+    can read it again after another was lost. Shuffle files of the write go when it ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/foliant-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._foliant_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for df in frames:
+        jvm, path = df.sparkSession._jvm, df._foliant_path
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most_bytes: int = 16 << 20) -> DataFrame:

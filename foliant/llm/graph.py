@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialize
+from foliant.llm.common import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,12 +17,15 @@ def components(links: DataFrame) -> DataFrame:
     pairs = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     pairs = materialize(pairs.dropDuplicates())
     labels = materialize(pairs.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("root")))
+    last = labels
     while True:
         sent = pairs.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("root").alias("got"))
         near = labels.join(sent, "node").select("node", "root", F.least("root", "got").alias("low"))
         up = labels.select(F.col("node").alias("low"), F.col("root").alias("above"))
         step = materialize(near.join(up, "low", "left").select("node", F.least("low", F.coalesce("above", "low")).alias("next"), (F.least("low", F.coalesce("above", "low")) != F.col("root")).alias("moved")))
         moved = step.where("moved").limit(1).count()
-        labels = step.select("node", F.col("next").alias("root"))
+        discard(last)
+        last, labels = step, step.select("node", F.col("next").alias("root"))
         if not moved:
+            discard(pairs)
             return labels

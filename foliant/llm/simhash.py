@@ -11,8 +11,8 @@ Buckets that hold more than ``CAP`` fingerprints are not paired. For a distance
 two, an exact way takes over: fingerprints are within two bits if and only if their balls
 of radius one meet, and a point of that space lies in at most 1 + bits such balls, so each
 fingerprint sends its ball's points and the small groups give all links. For larger
-distances members are verified against the smallest member of the bucket and of its
-finer buckets (two segments at once), which is linear in the bucket.
+distances, for which segments find links with a probability only, members of a full bucket
+are verified against eight of them, which is linear in the bucket.
 
 Edge cases: a text without words has fingerprint zero and links like any other; null is an
 empty text. Rows that repeat stay, each with its component. A component's id is its
@@ -32,6 +32,8 @@ from foliant.llm.graph import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 CAP = 48
+ROUND = 4  # segments that are searched at once
+PIVOTS = 8  # members of a full bucket that all its members are verified against
 PART = 1 << 18  # shingles whose bits are summed at once
 
 
@@ -94,27 +96,51 @@ def _keys(value: Column, bits: int, ball: bool) -> Column:
 
 
 def link(fps: DataFrame, n_words: int, bits: int, most: int) -> DataFrame:
-    """Links (src, dst: numbers of fingerprints) between rows (id long, fp) with distinct fp at distance 1 to ``most``."""
-    seg = _segments(F.col("fp"), n_words, bits)
-    tag = lambda j, v: v + F.lit(j << 32)
-    home = fps.select("id", "fp", F.explode(F.array(*[tag(j, v) for j, v in enumerate(seg)])).alias("key"))
-    probe = fps.select("id", "fp", F.explode(F.concat(*[_keys(tag(j, v), bits, True) for j, v in enumerate(seg)])).alias("key"))
-    near = lambda a, b: distance(a, b, n_words) <= most
-    sizes = home.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "fp")).alias("pivot"))
-    shared = materialize(sizes)  # as many rows as buckets; each is read twice
-    full = shared.where(F.col("n") > CAP)
-    few = home.select(F.col("id").alias("dst"), F.col("fp").alias("fp2"), "key").join(full.select("key"), "key", "left_anti")
-    light = probe.join(few, "key").where((F.col("id") != F.col("dst")) & near(F.col("fp"), F.col("fp2"))).select(F.col("id").alias("src"), "dst")
-    if full.limit(1).count() == 0:
-        return light
-    heavy = materialize(probe.join(full.select("key", "pivot"), "key").select("id", "fp", "key", "pivot"))
+    """Links (src, dst: numbers of fingerprints) between rows (id long, fp) with distinct fp at distance 1 to ``most``.
+
+    Segments are searched ``ROUND`` at a time, so what is shuffled at once is a part of all probes;
+    probes carry numbers only, fingerprints join the candidates later.
+    """
+    seg = [v + F.lit(j << 32) for j, v in enumerate(_segments(F.col("fp"), n_words, bits))]
+    found, crowded = [], []
+    for at in range(0, len(seg), ROUND):
+        own = seg[at : at + ROUND]
+        home = fps.select("id", F.explode(F.array(*own)).alias("key"))
+        probe = fps.select("id", F.explode(F.concat(*[_keys(v, bits, True) for v in own])).alias("key"))
+        pivots = [F.min(F.when(F.pmod("id", F.lit(PIVOTS)) == k, F.col("id"))) for k in range(PIVOTS)]
+        full = materialize(home.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_compact(F.array(*pivots)).alias("pivots")).where(F.col("n") > CAP))
+        any_full = full.limit(1).count() > 0
+        table = home.select(F.col("id").alias("dst"), "key")
+        if any_full:
+            table = table.join(full.select("key"), "key", "left_anti").unionByName(full.select(F.lit(None).cast("long").alias("dst"), "key"))
+        hits = materialize(probe.join(table.hint("merge"), "key").where(F.col("dst").isNull() | (F.col("id") != F.col("dst"))).select(F.col("id").alias("src"), "dst").distinct())
+        found.append(hits)
+        if any_full:
+            crowded.append(home.join(full.select("key", "pivots"), "key").select(F.col("id").alias("src"), F.explode("pivots").alias("dst")).where("src <> dst"))
+    pairs = _union(found)
+    light = pairs.where("dst is not null")
     if most <= 2:
-        return light.unionByName(_meet(heavy.select("id", "fp").dropDuplicates(["id"]), n_words))
-    stars = heavy.select(F.col("id").alias("src"), F.col("pivot.id").alias("dst"), "fp", F.col("pivot.fp").alias("fp2"))
-    finer = heavy.select("id", "fp", F.explode(F.array(*[F.xxhash64("key", F.lit(j), v) for j, v in enumerate(seg)])).alias("key"))
-    pivots = finer.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("pivot"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    more = finer.join(pivots, "key").select(F.col("id").alias("src"), F.col("pivot.id").alias("dst"), "fp", F.col("pivot.fp").alias("fp2"))
-    return light.unionByName(stars.unionByName(more).where((F.col("src") != F.col("dst")) & near(F.col("fp"), F.col("fp2"))).select("src", "dst"))
+        out = _verified(light, fps, n_words, most)
+        if crowded:
+            heavy = pairs.where("dst is null").select(F.col("src").alias("id")).distinct()
+            out = out.unionByName(_meet(fps.join(heavy, "id", "left_semi"), n_words))
+        return out
+    return _verified(_union([light, *crowded]).distinct() if crowded or len(found) > 1 else light, fps, n_words, most)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _verified(pairs: DataFrame, fps: DataFrame, n_words: int, most: int) -> DataFrame:
+    """The candidates whose complete distance is small enough."""
+    if n_words == 1:  # the number of a fingerprint is the fingerprint
+        return pairs.where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= most)
+    a, b = fps.select(F.col("id").alias("src"), F.col("fp").alias("fp1")), fps.select(F.col("id").alias("dst"), F.col("fp").alias("fp2"))
+    return pairs.join(a, "src").join(b, "dst").where(distance(F.col("fp1"), F.col("fp2"), n_words) <= most).select("src", "dst")
 
 
 def _meet(fps: DataFrame, n_words: int) -> DataFrame:
