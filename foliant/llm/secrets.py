@@ -65,10 +65,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     counts = {(r["label"], r["pair"]): r["n"] for r in _pairs(labelled.unionByName(made)).where(F.length("pair") == 2).where(F.col("pair").rlike(rf"^[.{SIGNS}]{{2}}$")).collect()}
     size = len(ALPHABET) + 1
     out = [0.0] * (size * size)
+    labels = ("random", "ordinary")
+    total = {k: sum(n for (label, _), n in counts.items() if label == k) for k in labels}
+    single = {(k, b): (sum(counts.get((k, a + b), 0) for a in ALPHABET) + 0.5) / (total[k] + 0.5 * len(ALPHABET)) for k in labels for b in ALPHABET}
     for a in ALPHABET:
-        row = {label: sum(counts.get((label, a + b), 0) for b in ALPHABET) for label in ("random", "ordinary")}
-        for b in ALPHABET:
-            p = {label: (counts.get((label, a + b), 0) + 0.5) / (row[label] + 0.5 * len(ALPHABET)) for label in row}
+        row = {k: sum(counts.get((k, a + b), 0) for b in ALPHABET) for k in labels}
+        for b in ALPHABET:  # a pair that was not seen falls back to how frequent its second character is
+            p = {k: (counts.get((k, a + b), 0) + single[k, b]) / (row[k] + 1) for k in labels}
             out[(ALPHABET.index(a) + 1) * size + ALPHABET.index(b) + 1] = math.log(p["random"] / p["ordinary"])
     return out
 
