@@ -31,7 +31,7 @@ BLOCK = 2048  # documents of a source that fly together
 MOST_SOURCES = 1_000_000
 EPS = 1e-9
 MERGE = 256  # blocks whose remainders fly together
-RESERVE = 16  # documents of all sizes that a block keeps out of the flight for the landing
+RESERVE = 32  # documents of all sizes that a block keeps out of the flight for the landing
 
 
 def size_of(text):
