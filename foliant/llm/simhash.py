@@ -161,8 +161,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, n_words: int = 1, bits: i
     distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
     numbered = materialize(distinct.select("fp", "least", F.xxhash64("fp").alias("id")) if n_words > 1 else distinct.select("fp", "least", F.col("fp")[0].alias("id")))
     roots = components(link(numbered.select("id", "fp"), n_words, bits, most))
-    of = numbered.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", "least", F.coalesce("root", "id").alias("root"))
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = materialize(numbered.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", "least", F.coalesce("root", "id").alias("root")))
+    ids = materialize(of.groupBy("root").agg(F.min("least").alias("component_id")))  # a table of its own: a hot root's rows can be split then
     known = materialize(of.join(ids, "root").select(F.col("fp").alias("fp2"), "component_id"))
     return each.join(known, F.col("fp") == F.col("fp2")).select("doc_id", "fp", "h", "component_id")
 
