@@ -12,7 +12,7 @@ two, an exact way takes over: fingerprints are within two bits if and only if th
 of radius one meet, and a point of that space lies in at most 1 + bits such balls, so each
 fingerprint sends its ball's points and the small groups give all links. For larger
 distances, for which segments find links with a probability only, members of a full bucket
-are verified against eight of them, which is linear in the bucket.
+are verified against four of them, which is linear in the bucket.
 
 Edge cases: a text without words has fingerprint zero and links like any other; null is an
 empty text. Rows that repeat stay, each with its component. A component's id is its
@@ -21,6 +21,8 @@ smallest non-null doc_id (null if it has none). An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,8 +34,9 @@ from foliant.llm.graph import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 CAP = 48
+NEAR_CAP = 8  # for larger distances
 ROUND = 4  # segments that are searched at once
-PIVOTS = 8  # members of a full bucket that all its members are verified against
+PIVOTS = 4  # members of a full bucket that all its members are verified against
 PART = 1 << 18  # shingles whose bits are summed at once
 
 
@@ -64,14 +67,15 @@ def fingerprint(h: np.ndarray, n_words: int = 1) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, n_words: int = 1) -> DataFrame:
-    """doc_id, fp (array of 64-bit words), h (hash of the text, as xxhash64() has it): one row per row of ``docs``."""
+    """doc_id, fp (array of 64-bit words), n (shingles), h (hash of the text, as xxhash64() has it): one row per row of ``docs``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = utf8(batch.column(1))
-        rows = [fingerprint(shingle_hashes(t, shingle), n_words).view(np.int64).tolist() for t in texts]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64())), pa.array(np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64))], ["doc_id", "fp", "h"])
+        hashes = (shingle_hashes(t, shingle) for t in texts)
+        rows, sizes = zip(*((fingerprint(h, n_words).view(np.int64).tolist(), h.size) for h in hashes), strict=True) if texts else ([], [])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64))], ["doc_id", "fp", "n", "h"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp array<long>, h long")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp array<long>, n long, h long")
 
 
 def distance(a: Column, b: Column, n_words: int) -> Column:
@@ -99,16 +103,21 @@ def link(fps: DataFrame, n_words: int, bits: int, most: int) -> DataFrame:
     """Links (src, dst: numbers of fingerprints) between rows (id long, fp) with distinct fp at distance 1 to ``most``.
 
     Segments are searched ``ROUND`` at a time, so what is shuffled at once is a part of all probes;
-    probes carry numbers only, fingerprints join the candidates later.
+    probes carry numbers only, fingerprints join the candidates later. If there is a column ``cell``,
+    only fingerprints whose cells differ by one at most are looked for: it keeps chance hits apart.
     """
-    seg = [v + F.lit(j << 32) for j, v in enumerate(_segments(F.col("fp"), n_words, bits))]
+    cells = "cell" in fps.columns
+    here = F.shiftleft(F.col("cell").cast("long"), 40) if cells else F.lit(0)
+    seg = [v + F.lit(j << 32) + here for j, v in enumerate(_segments(F.col("fp"), n_words, bits))]
+    cap = CAP if most <= 2 else NEAR_CAP
     found, crowded = [], []
     for at in range(0, len(seg), ROUND):
         own = seg[at : at + ROUND]
-        home = fps.select("id", F.explode(F.array(*own)).alias("key"))
+        homes = [v + F.lit(d << 40) for v in own for d in ((-1, 0, 1) if cells else (0,))]
+        home = fps.select("id", F.explode(F.array(*homes)).alias("key"))
         probe = fps.select("id", F.explode(F.concat(*[_keys(v, bits, True) for v in own])).alias("key"))
         pivots = [F.min(F.when(F.pmod("id", F.lit(PIVOTS)) == k, F.col("id"))) for k in range(PIVOTS)]
-        full = materialize(home.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_compact(F.array(*pivots)).alias("pivots")).where(F.col("n") > CAP))
+        full = materialize(home.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_compact(F.array(*pivots)).alias("pivots")).where(F.col("n") > cap))
         any_full = full.limit(1).count() > 0
         table = home.select(F.col("id").alias("dst"), "key")
         if any_full:
@@ -155,12 +164,13 @@ def _meet(fps: DataFrame, n_words: int) -> DataFrame:
     return groups.select(F.array_min("ids").alias("dst"), F.explode("ids").alias("src")).where("src <> dst")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, n_words: int = 1, bits: int = 32, most: int = 2) -> DataFrame:
-    """doc_id, fp, h, component_id for each row of ``docs``."""
+def near_duplicates(docs: DataFrame, shingle: int = 3, n_words: int = 1, bits: int = 32, most: int = 2, ratio: float = 0.0) -> DataFrame:
+    """doc_id, fp, h, component_id for each row of ``docs``; ``ratio``: links with larger ones of the numbers of shingles are not looked for."""
     each = materialize(fingerprints(docs, shingle, n_words))
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    numbered = materialize(distinct.select("fp", "least", F.xxhash64("fp").alias("id")) if n_words > 1 else distinct.select("fp", "least", F.col("fp")[0].alias("id")))
-    roots = components(link(numbered.select("id", "fp"), n_words, bits, most))
+    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"))
+    number = F.xxhash64("fp") if n_words > 1 else F.col("fp")[0]
+    numbered = materialize(distinct.select("fp", "least", number.alias("id"), (F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / math.log(ratio)) + 1 if ratio else F.lit(0)).cast("int").alias("cell")))
+    roots = components(link(numbered.select("id", "fp", *(["cell"] if ratio else [])), n_words, bits, most))
     of = materialize(numbered.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", "least", F.coalesce("root", "id").alias("root")))
     ids = materialize(of.groupBy("root").agg(F.min("least").alias("component_id")))  # a table of its own: a hot root's rows can be split then
     known = materialize(of.join(ids, "root").select(F.col("fp").alias("fp2"), "component_id"))
@@ -173,8 +183,8 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 
 #: For near-duplicates proper: five-word shingles, eight words of 64 bits. A similarity (Jaccard) of 0.8 is an
-#: angle at which 15.1 % of the bits differ, 77 of 512; two deviations more are allowed.
-NEAR = {"shingle": 5, "n_words": 8, "bits": 24, "most": 86}
+#: angle at which 15.1 % of the bits differ, 77 of 512; more are allowed for chance. It also bounds the ratio of sizes by 1.25.
+NEAR = {"shingle": 5, "n_words": 8, "bits": 24, "most": 86, "ratio": 1.25}
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
