@@ -110,7 +110,7 @@ def link(fps: DataFrame, n_words: int, bits: int, most: int) -> DataFrame:
     here = F.shiftleft(F.col("cell").cast("long"), 40) if cells else F.lit(0)
     seg = [v + F.lit(j << 32) + here for j, v in enumerate(_segments(F.col("fp"), n_words, bits))]
     cap = CAP if most <= 2 else NEAR_CAP
-    found, crowded = [], []
+    found, crowded, members = [], [], []
     for at in range(0, len(seg), ROUND):
         own = seg[at : at + ROUND]
         homes = [v + F.lit(d << 40) for v in own for d in ((-1, 0, 1) if cells else (0,))]
@@ -126,6 +126,8 @@ def link(fps: DataFrame, n_words: int, bits: int, most: int) -> DataFrame:
         found.append(hits)
         if any_full:
             crowded.append(home.join(full.select("key", "pivots"), "key").select(F.col("id").alias("src"), F.explode("pivots").alias("dst")).where("src <> dst"))
+            both = home.withColumn("home", F.lit(True)).unionByName(probe.withColumn("home", F.lit(False)))
+            members.append(both.join(full.select("key"), "key", "left_semi"))
     pairs = _union(found)
     light = pairs.where("dst is not null")
     if most <= 2:
@@ -134,7 +136,28 @@ def link(fps: DataFrame, n_words: int, bits: int, most: int) -> DataFrame:
             heavy = pairs.where("dst is null").select(F.col("src").alias("id")).distinct()
             out = out.unionByName(_meet(fps.join(heavy, "id", "left_semi"), n_words))
         return out
-    return _verified(_union([light, *crowded]).distinct() if crowded or len(found) > 1 else light, fps, n_words, most)
+    links = _verified(_union([light, *crowded]).distinct() if crowded or len(found) > 1 else light, fps, n_words, most)
+    if not crowded:
+        return links
+    links = materialize(links)
+    apart = materialize(_apart(materialize(_union(members)), components(links)))
+    return links.unionByName(_verified(apart, fps, n_words, most))
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs (src, dst) of a probe and a home row under one key (key, id, home) that ``roots`` does not connect.
+
+    Of such a pair one end at least is outside the key's most common component, so the rest of
+    the key is only compared with those: a key filled by one component gives no pairs.
+    """
+    rooted = materialize(members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = materialize(sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "main"))
+    rows = materialize(rooted.join(main, "key"))
+    probes = rows.where("not home").select("key", F.col("id").alias("src"), F.col("root").alias("root1"), (F.col("root") != F.col("main")).alias("out1"))
+    homes = rows.where("home").select("key", F.col("id").alias("dst"), F.col("root").alias("root2"), (F.col("root") != F.col("main")).alias("out2"))
+    met = probes.where("out1").join(homes, "key").unionByName(probes.where("not out1").join(homes.where("out2"), "key"))
+    return met.where("root1 <> root2").select("src", "dst").distinct()
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -296,6 +296,35 @@ def test_links_are_all_of_them(spark, monkeypatch, cap):
     assert {x: got.get(x, x) for x in signed} == root
 
 
+@pytest.mark.parametrize("cap", [1, 8])
+def test_full_keys_lose_no_distant_link(spark, monkeypatch, cap):
+    monkeypatch.setattr(simhash, "NEAR_CAP", cap)
+    r = random.Random(21)
+    n_words, bits, most = 2, 24, 20
+    keys = [r.getrandbits(24) for _ in range(3)]  # low segments that many share, and neighbours of them
+    prints = []
+    for _ in range(60):
+        words = [r.getrandbits(64) for _ in range(n_words)]
+        words[0] = words[0] >> 24 << 24 | r.choice(keys)
+        prints.append(words)
+        if r.random() < 0.6:
+            twice = lambda a, b: sum(1 << k for k in r.sample(range(a, b), 2))
+            other = [words[0] ^ twice(32, 56) ^ r.choice([0, 1 << r.randrange(24)]), words[1] ^ twice(0, 24) ^ twice(32, 56)]  # only the first segments meet
+            prints.append(other)
+    signed = [[w - (1 << 64) if w >> 63 else w for w in p] for p in prints]
+    links = simhash.link(spark.createDataFrame(list(enumerate(signed)), "id long, fp array<long>"), n_words, bits, most)
+    got = {x["node"]: x["root"] for x in graph.components(links).collect()}
+    segments = lambda p: [w >> half & (1 << bits) - 1 for w in p for half in (0, 32)]
+    meet = lambda p, q: any((a ^ b).bit_count() <= 1 for a, b in zip(segments(p), segments(q), strict=True)) and sum((a ^ b).bit_count() for a, b in zip(p, q, strict=True)) <= most
+    root = list(range(len(prints)))
+    while True:
+        new = [min(root[j] for j, q in enumerate(prints) if meet(p, q)) for p in prints]
+        if new == root:
+            break
+        root = new
+    assert len(set(root)) < len(prints) and [got.get(i, i) for i in range(len(prints))] == root
+
+
 def test_one_of_each_near_copy_stays(spark):
     r = random.Random(13)
     docs = []
