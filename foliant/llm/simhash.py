@@ -22,6 +22,7 @@ smallest non-null doc_id (null if it has none). An empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,8 @@ from foliant.llm.graph import components
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 CAP = 48
 NEAR_CAP = 8  # for larger distances
-ROUND = 4  # segments that are searched at once
+ROUND = 7  # segments that are searched at once
+DEALS = 2  # times the bits are cut into segments, for larger distances
 PIVOTS = 4  # members of a full bucket that all its members are verified against
 PART = 1 << 18  # shingles whose bits are summed at once
 
@@ -66,6 +68,13 @@ def fingerprint(h: np.ndarray, n_words: int = 1) -> np.ndarray:
     return out
 
 
+def segments_of(fp: np.ndarray, bits: int, deals: int) -> list[int]:
+    """Segments of ``bits`` bits: ``deals`` times all bits are shuffled (always alike) and cut into as many as they give."""
+    flat = np.unpackbits(fp.view(np.uint8), bitorder="little")
+    order = np.concatenate([np.random.default_rng(k).permutation(flat.size)[: flat.size // bits * bits] for k in range(deals)])
+    return (flat[order].reshape(-1, bits) @ (1 << np.arange(bits, dtype=np.int64))).tolist()
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, n_words: int = 1) -> DataFrame:
     """doc_id, fp (array of 64-bit words), n (shingles), h (hash of the text, as xxhash64() has it): one row per row of ``docs``."""
 
@@ -99,16 +108,19 @@ def _keys(value: Column, bits: int, ball: bool) -> Column:
     return F.concat(F.array(value), cleared)
 
 
-def link(fps: DataFrame, n_words: int, bits: int, most: int) -> DataFrame:
+def link(fps: DataFrame, n_words: int, bits: int, most: int, sure: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links (src, dst: numbers of fingerprints) between rows (id long, fp) with distinct fp at distance 1 to ``most``.
 
     Segments are searched ``ROUND`` at a time, so what is shuffled at once is a part of all probes;
     probes carry numbers only, fingerprints join the candidates later. If there is a column ``cell``,
     only fingerprints whose cells differ by one at most are looked for: it keeps chance hits apart.
+    A column ``segs`` takes the place of the words' own segments. ``sure`` decides which of the pairs within
+    ``most`` are links; pairs that other links connect already are not asked about then.
     """
     cells = "cell" in fps.columns
     here = F.shiftleft(F.col("cell").cast("long"), 40) if cells else F.lit(0)
-    seg = [v + F.lit(j << 32) + here for j, v in enumerate(_segments(F.col("fp"), n_words, bits))]
+    own_segments = [F.col("segs")[j] for j in range(n_words * 64 // bits * DEALS)] if "segs" in fps.columns else _segments(F.col("fp"), n_words, bits)
+    seg = [v + F.lit(j << 32) + here for j, v in enumerate(own_segments)]
     cap = CAP if most <= 2 else NEAR_CAP
     found, crowded, members = [], [], []
     for at in range(0, len(seg), ROUND):
@@ -136,12 +148,24 @@ def link(fps: DataFrame, n_words: int, bits: int, most: int) -> DataFrame:
             heavy = pairs.where("dst is null").select(F.col("src").alias("id")).distinct()
             out = out.unionByName(_meet(fps.join(heavy, "id", "left_semi"), n_words))
         return out
-    links = _verified(_union([light, *crowded]).distinct() if crowded or len(found) > 1 else light, fps, n_words, most)
+    links = _decided(_verified(_union([light, *crowded]).distinct() if crowded or len(found) > 1 else light, fps, n_words, most), sure)
     if not crowded:
         return links
     links = materialize(links)
     apart = materialize(_apart(materialize(_union(members)), components(links)))
-    return links.unionByName(_verified(apart, fps, n_words, most))
+    return links.unionByName(_decided(_verified(apart, fps, n_words, most), sure))
+
+
+def _decided(pairs: DataFrame, sure: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """The links among ``pairs``, up to ones whose ends others connect: one pair a node is asked about first, then what is still apart."""
+    if sure is None:
+        return pairs
+    pairs = materialize(pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    first = materialize(sure(pairs.groupBy("src").agg(F.min("dst").alias("dst"))))
+    roots = components(first)
+    a, b = roots.select(F.col("node").alias("src"), F.col("root").alias("root1")), roots.select(F.col("node").alias("dst"), F.col("root").alias("root2"))
+    rest = pairs.join(a, "src", "left").join(b, "dst", "left").where(F.coalesce("root1", "src") != F.coalesce("root2", "dst")).select("src", "dst")
+    return first.unionByName(materialize(sure(materialize(rest))))
 
 
 def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -187,13 +211,47 @@ def _meet(fps: DataFrame, n_words: int) -> DataFrame:
     return groups.select(F.array_min("ids").alias("dst"), F.explode("ids").alias("src")).where("src <> dst")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, n_words: int = 1, bits: int = 32, most: int = 2, ratio: float = 0.0) -> DataFrame:
-    """doc_id, fp, h, component_id for each row of ``docs``; ``ratio``: links with larger ones of the numbers of shingles are not looked for."""
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of shingles; empty ones are equal."""
+    both = np.intersect1d(a, b, assume_unique=True).size
+    return both / (a.size + b.size - both) if a.size or b.size else 1.0
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The ``pairs`` (src, dst) whose texts (id, text) have a shingle similarity of ``least``."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = ([np.unique(shingle_hashes(t, shingle)) for t in utf8(batch.column(k))] for k in (2, 3))
+        return batch.select([0, 1]).filter(pa.array([similarity(a, b) >= least for a, b in zip(*sets, strict=True)], pa.bool_()))
+
+    a, b = texts.select(F.col("id").alias("src"), F.col("text").alias("text1")), texts.select(F.col("id").alias("dst"), F.col("text").alias("text2"))
+    return map_arrow(pairs.join(a, "src").join(b, "dst").select("src", "dst", "text1", "text2"), run, "src long, dst long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, n_words: int = 1, bits: int = 32, most: int = 2, least: float = 0.0) -> DataFrame:
+    """doc_id, fp, h, component_id for each row of ``docs``; ``least``: links are pairs of at least this shingle similarity."""
     each = materialize(fingerprints(docs, shingle, n_words))
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"))
+    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("h").alias("h"))
     number = F.xxhash64("fp") if n_words > 1 else F.col("fp")[0]
-    numbered = materialize(distinct.select("fp", "least", number.alias("id"), (F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / math.log(ratio)) + 1 if ratio else F.lit(0)).cast("int").alias("cell")))
-    roots = components(link(numbered.select("id", "fp", *(["cell"] if ratio else [])), n_words, bits, most))
+    numbered = materialize(distinct.select("fp", "least", "h", number.alias("id"), (F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / -math.log(least)) + 1 if least else F.lit(0)).cast("int").alias("cell")))
+    if least:
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            segs = [segments_of(np.array(fp, np.int64).view(np.uint64), bits, DEALS) for fp in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(segs, pa.list_(pa.int64()))], ["id", "fp", "cell", "segs"])
+
+        cut = materialize(map_arrow(numbered.select("id", "fp", "cell"), run, "id long, fp array<long>, cell int, segs array<long>"))
+        hashed = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+
+        def sure(pairs: DataFrame) -> DataFrame:
+            asked = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+            texts = materialize(hashed.join(numbered.join(asked, "id", "left_semi").select("id", "h"), "h").groupBy("id").agg(F.first("text").alias("text")))
+            return _similar(pairs, texts, shingle, least)
+
+        links = link(cut, n_words, bits, most, sure)
+    else:
+        links = link(numbered.select("id", "fp"), n_words, bits, most)
+    roots = components(links)
     of = materialize(numbered.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", "least", F.coalesce("root", "id").alias("root")))
     ids = materialize(of.groupBy("root").agg(F.min("least").alias("component_id")))  # a table of its own: a hot root's rows can be split then
     known = materialize(of.join(ids, "root").select(F.col("fp").alias("fp2"), "component_id"))
@@ -205,9 +263,10 @@ def op9(spark, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For near-duplicates proper: five-word shingles, eight words of 64 bits. A similarity (Jaccard) of 0.8 is an
-#: angle at which 15.1 % of the bits differ, 77 of 512; more are allowed for chance. It also bounds the ratio of sizes by 1.25.
-NEAR = {"shingle": 5, "n_words": 8, "bits": 24, "most": 86, "ratio": 1.25}
+#: For near-duplicates proper: five-word shingles, eight words of 64 bits. A similarity (Jaccard) of 0.8 is an angle at
+#: which 15.1 % of the bits differ, 77 of 512 and 8 more or less; 112 make a candidate. The shingles themselves decide
+#: then. A similarity of 0.8 also bounds the ratio of sizes by 1.25.
+NEAR = {"shingle": 5, "n_words": 8, "bits": 24, "most": 112, "least": 0.8}
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -340,6 +340,20 @@ def test_one_of_each_near_copy_stays(spark):
     assert kept == [g * 100 for g in range(20)]
 
 
+def test_near_duplicates_are_pairs_of_the_stated_similarity(spark):
+    r = random.Random(22)
+    docs, want = [], {}
+    for g in range(300):  # one run of changed words: of 300 shingles k + 4 are lost on both sides
+        words = [f"w{r.randrange(10**6)}" for _ in range(304)]
+        k = 27 if g % 2 else 46  # similarities (300 - 31) / (300 + 31) = 0.81 and 250 / 350 = 0.71
+        docs += [(2 * g, " ".join(words)), (2 * g + 1, " ".join([*words[:100], *(f"x{r.randrange(10**6)}" for _ in range(k)), *words[100 + k :]]))]
+        want[g] = g % 2 == 1
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), **simhash.NEAR).collect()}
+    linked = [g for g in want if got[2 * g] == got[2 * g + 1]]
+    assert all(want[g] for g in linked)  # no pair below the threshold
+    assert len(linked) >= 0.95 * sum(want.values())
+
+
 # ------------------------------------------------------------ 10
 
 
