@@ -75,16 +75,24 @@ def segments_of(fp: np.ndarray, bits: int, deals: int) -> list[int]:
     return (flat[order].reshape(-1, bits) @ (1 << np.arange(bits, dtype=np.int64))).tolist()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, n_words: int = 1) -> DataFrame:
-    """doc_id, fp (array of 64-bit words), n (shingles), h (hash of the text, as xxhash64() has it): one row per row of ``docs``."""
+def fingerprints(docs: DataFrame, shingle: int = 3, n_words: int = 1, sets: bool = False) -> DataFrame:
+    """doc_id, fp (array of 64-bit words), n (shingles), h (hash of the text, as xxhash64() has it), id: one row per row of ``docs``.
+
+    With ``sets`` a shingle counts once however often it stands in the text, and ``id`` is the set's; else it is the fingerprint's.
+    """
+
+    def one(h: np.ndarray) -> tuple[list[int], int, int]:
+        h = np.unique(h) if sets else h
+        fp = fingerprint(h, n_words).view(np.int64)
+        number = int(fp[0]) if n_words == 1 and not sets else int(np.uint64(xxhash.xxh64_intdigest((h if sets else fp).tobytes(), 42)).view(np.int64))
+        return fp.tolist(), h.size, number
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = utf8(batch.column(1))
-        hashes = (shingle_hashes(t, shingle) for t in texts)
-        rows, sizes = zip(*((fingerprint(h, n_words).view(np.int64).tolist(), h.size) for h in hashes), strict=True) if texts else ([], [])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64))], ["doc_id", "fp", "n", "h"])
+        rows, sizes, numbers = zip(*(one(shingle_hashes(t, shingle)) for t in texts), strict=True) if texts else ([], [], [])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)), pa.array(numbers, pa.int64())], ["doc_id", "fp", "n", "h", "id"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp array<long>, n long, h long")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp array<long>, n long, h long, id long")
 
 
 def distance(a: Column, b: Column, n_words: int) -> Column:
@@ -109,7 +117,7 @@ def _keys(value: Column, bits: int, ball: bool) -> Column:
 
 
 def link(fps: DataFrame, n_words: int, bits: int, most: int, sure: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Links (src, dst: numbers of fingerprints) between rows (id long, fp) with distinct fp at distance 1 to ``most``.
+    """Links (src, dst: numbers of fingerprints) between rows (id long, fp) at distance 1 to ``most`` (0 too where ids differ and fp do not).
 
     Segments are searched ``ROUND`` at a time, so what is shuffled at once is a part of all probes;
     probes carry numbers only, fingerprints join the candidates later. If there is a column ``cell``,
@@ -230,10 +238,9 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, n_words: int = 1, bits: int = 32, most: int = 2, least: float = 0.0) -> DataFrame:
     """doc_id, fp, h, component_id for each row of ``docs``; ``least``: links are pairs of at least this shingle similarity."""
-    each = materialize(fingerprints(docs, shingle, n_words))
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("h").alias("h"))
-    number = F.xxhash64("fp") if n_words > 1 else F.col("fp")[0]
-    numbered = materialize(distinct.select("fp", "least", "h", number.alias("id"), (F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / -math.log(least)) + 1 if least else F.lit(0)).cast("int").alias("cell")))
+    each = materialize(fingerprints(docs, shingle, n_words, least > 0))
+    distinct = each.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("h").alias("h"))
+    numbered = materialize(distinct.select("id", "fp", "least", "h", (F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / -math.log(least)) + 1 if least else F.lit(0)).cast("int").alias("cell")))
     if least:
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -252,10 +259,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, n_words: int = 1, bits: i
     else:
         links = link(numbered.select("id", "fp"), n_words, bits, most)
     roots = components(links)
-    of = materialize(numbered.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", "least", F.coalesce("root", "id").alias("root")))
+    of = materialize(numbered.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")))
     ids = materialize(of.groupBy("root").agg(F.min("least").alias("component_id")))  # a table of its own: a hot root's rows can be split then
-    known = materialize(of.join(ids, "root").select(F.col("fp").alias("fp2"), "component_id"))
-    return each.join(known, F.col("fp") == F.col("fp2")).select("doc_id", "fp", "h", "component_id")
+    known = materialize(of.join(ids, "root").select("id", "component_id"))
+    return each.join(known, "id").select("doc_id", "fp", "h", "component_id")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
@@ -265,7 +272,8 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 #: For near-duplicates proper: five-word shingles, eight words of 64 bits. A similarity (Jaccard) of 0.8 is an angle at
 #: which 15.1 % of the bits differ, 77 of 512 and 8 more or less; 112 make a candidate. The shingles themselves decide
-#: then. A similarity of 0.8 also bounds the ratio of sizes by 1.25.
+#: then. A similarity of 0.8 also bounds the ratio of the numbers of distinct shingles by 1.25. Fingerprints and sizes are
+#: the sets', so that repetition within a text changes neither.
 NEAR = {"shingle": 5, "n_words": 8, "bits": 24, "most": 112, "least": 0.8}
 
 

@@ -354,6 +354,17 @@ def test_near_duplicates_are_pairs_of_the_stated_similarity(spark):
     assert len(linked) >= 0.95 * sum(want.values())
 
 
+def test_a_text_and_its_repetitions_are_near_duplicates(spark):
+    r = random.Random(23)
+    docs = []
+    for g in range(20):
+        words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        line = words[:20]
+        docs += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(words * 2)), (10 * g + 2, " ".join(words + line * 40))]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), **simhash.NEAR).collect()}
+    assert got == {d: d // 10 * 10 for d, _ in docs}
+
+
 # ------------------------------------------------------------ 10
 
 
