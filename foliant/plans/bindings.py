@@ -493,7 +493,10 @@ def extract_tables(read):
 
 @query()
 def layout_lines(read):
-    words = _document_lines(read).where("line_no < 80").select("doc_id", "page", (F.col("line_no") % 40).alias("row"), F.posexplode(F.split("text", " ")).alias("k", "text")).where("k < 12")
+    # a line of more than twelve words goes on in further rows; forty rows are a page
+    wrapped = F.expr("flatten(transform(transform(split(text, '\n'), l -> split(l, ' ')), w -> transform(sequence(0, (size(w) - 1) div 12), i -> slice(w, i * 12 + 1, 12))))")
+    rows = read("documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(wrapped).alias("n", "words"))
+    words = rows.select("doc_id", (F.floor(F.col("n") / 40) + 1).cast("int").alias("page"), (F.col("n") % 40).alias("row"), F.posexplode("words").alias("k", "text"))
     items = words.select("doc_id", "page", F.col("k").alias("item_no"), "text", (F.col("k") * 45.0 + 40).alias("x"), (760.0 - F.col("row") * 18).alias("y"), (F.length("text") * 5.0).alias("width"), F.lit(10.0).alias("font_size"), F.lit("Serif").alias("font_name"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"))
     return layout.layout_lines(items).select("doc_id", "page", "line_no", "text", "x", "y")
 

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foliant.operators import chunking, extraction, layout, references, tables
+from foliant.plans import catalogue
 
 
 def line(text, x, y, font=7.5):
@@ -124,3 +125,11 @@ def test_gate(spark):
     assert [r["ok"] for r in df.select("i", extraction.is_valid().alias("ok")).orderBy("i").collect()] == [ok for _, ok in names]
     gap = df.select(extraction.hierarchy_gaps().alias("g"), F.lit(1)).first()["g"]
     assert gap is False
+
+
+def test_layout_query_keeps_whole_documents(spark, tmp_path):
+    lines = [" ".join(f"w{n}x{k}" for k in range(1 + n * 7 % 40)) for n in range(200)]
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.QUERIES["layout_lines"](spark, str(tmp_path)).collect()
+    assert sorted(w for r in got for w in r["text"].split()) == sorted(w for line in lines for w in line.split())
+    assert all(0 <= r["y"] <= 792 for r in got)
