@@ -10,8 +10,11 @@ best substring of that window decides.
 The items are the stated query set: they go to the executors in blocks of at most
 ``BLOCK_CHARS`` characters, each block against all documents.
 
-Edge cases: items under ``min_chars`` characters after reduction (also null and empty ones)
-never match, as they would match anywhere. Null and empty documents have no hits. Items and
+Items under ``min_chars`` characters after reduction match unchanged and on word borders only
+(beside a letter of a script without spaces any place is one), as with edits or within words
+they would match anywhere.
+
+Edge cases: null items and those without word characters never match. Null and empty documents have no hits. Items and
 documents that repeat give their rows as often. No item or no document: no rows.
 """
 
@@ -28,6 +31,8 @@ from foliant.llm.common import map_arrow
 
 RATE, MIN_CHARS, BLOCK_CHARS = 0.05, 40, 4_000_000
 _WORDS = re.compile(r"[^\W_]+")
+#: Scripts without spaces: Thai and Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def reduced(text: str | None) -> str:
@@ -58,11 +63,18 @@ def myers(pattern: str, text: str, most: int) -> int:
     return best if best <= most else most + 1
 
 
+def bordered(text: str, a: int, b: int) -> bool:
+    """Whether ``text[a:b]`` begins and ends on word borders."""
+    border = lambda at: at in (0, len(text)) or " " in text[at - 1 : at + 1] or _UNSPACED.search(text, at - 1, at + 1) is not None
+    return border(a) and border(b)
+
+
 class Matcher:
-    """Finds every item of a block in a text."""
+    """Finds every item of a block in a text; those under ``min_chars`` unchanged and on word borders."""
 
-    def __init__(self, items: list[tuple[int | None, str]], rate: float):
-        self.items = [(i, t, int(len(t) * rate)) for i, t in items]
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, min_chars: int = MIN_CHARS):
+        self.items = [(i, t, int(len(t) * rate) if len(t) >= min_chars else 0) for i, t in items]
+        self.min_chars = min_chars
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, budget) in enumerate(self.items):
             for j in range(budget + 1):
@@ -86,6 +98,10 @@ class Matcher:
         found = []
         for k, at in sorted(diagonals.items()):
             item, pattern, budget = self.items[k]
+            if len(pattern) < self.min_chars:  # its one piece is the item
+                if any(bordered(text, a, a + len(pattern)) for a in at):
+                    found.append((item, 0))
+                continue
             best, starts = budget + 1, sorted(at)
             low = high = starts[0]
             for d in [*starts[1:], None]:
@@ -102,27 +118,27 @@ class Matcher:
         return found
 
 
-def blocks(benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS):
+def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
     """The items, reduced, in blocks of bounded size."""
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
     n = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // (block_chars // 2))
     for k in range(n):
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else items
         rows = [(r["item_id"], reduced(r["text"])) for r in block.orderBy(F.col("item_id").asc_nulls_last(), "text").collect()]
-        yield [(i, t) for i, t in rows if len(t) >= min_chars]
+        yield [(i, t) for i, t in rows if t]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, item_id, distance, item_chars: one row for each test item that a document holds."""
     schema = "doc_id long, item_id long, distance long, item_chars long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in blocks(benchmark, rate, min_chars):
+    for items in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)  # BLOCK_CHARS bounds it
         size = {i: len(t) for i, t in items}
 
         def run(batch: pa.RecordBatch, shared=shared, made=[], size=size) -> pa.RecordBatch:
             if not made:
-                made.append(Matcher(shared.value, rate))
+                made.append(Matcher(shared.value, rate, min_chars))
             rows = [(d, i, n, size[i]) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, n in made[0].hits(t)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "distance", "item_chars"])
@@ -134,12 +150,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of ``docs``, every column as it was, that hold no test item."""
     at = docs.columns.index("text")
-    for items in blocks(benchmark, rate, min_chars):
+    for items in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batch: pa.RecordBatch, shared=shared, made=[]) -> pa.RecordBatch:
             if not made:
-                made.append(Matcher(shared.value, rate))
+                made.append(Matcher(shared.value, rate, min_chars))
             return batch.filter(pa.array([not made[0].hits(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = map_arrow(docs, run, docs.schema)

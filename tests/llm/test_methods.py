@@ -60,6 +60,15 @@ def test_contamination_is_all_that_brute_force_finds(spark):
     assert got == want and len(want) > 10
 
 
+def test_short_items_match_whole_words_unchanged(spark):
+    items = [(1, "Who wrote Faust?"), (2, "谁写了浮士德"), (3, "?!"), (4, "wrote faust in")]
+    texts = ["they ask: who wrote faust", "who wrote fausts", "xwho wrote faust", "who wrota faust", "请问谁写了浮士德吗", "Who wrote Faustus? Who wrote Faust, indeed"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((x["doc_id"], x["item_id"], x["distance"]) for x in decontam.contamination(docs, bench).collect()) == [(0, 1, 0), (4, 2, 0), (5, 1, 0)]
+    assert sorted(x["doc_id"] for x in decontam.clean(docs, bench).collect()) == [1, 2, 3]
+
+
 # ------------------------------------------------------------ 2
 
 
