@@ -6,6 +6,10 @@ and every ``FANOUT`` neighbouring nodes make one node of the next level, up to t
 replicas compare roots and then only the children of nodes that differ; in leaves that
 differ the records themselves tell what is corrupt, missing or extra.
 
+The replicas must share offsets: records are compared by ``byte_offset``, which a replica's
+manifest has to carry over from the original layout. A replica laid out by itself would after
+a lost or lengthened record differ in all later offsets, and each later record be reported.
+
 A leaf holds at most LEAF bytes of records (each has a header), a node FANOUT children: no
 group grows with the data.
 
@@ -75,7 +79,10 @@ def audit(a: DataFrame, b: DataFrame, leaf: int = LEAF, fanout: int = FANOUT) ->
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    """``pages`` against a replica in which every 97th page's payload is altered and every 211th is lost."""
+    """``pages`` against a replica in which every 97th page's payload is altered and every 211th is lost.
+
+    Only the altered pages of the replica are hashed again; its other digests, and all offsets and sizes, are copies of ours.
+    """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     ours = lay_out(pages)
     altered = pages.where(F.coalesce(F.pmod("page_id", F.lit(97)) == 5, F.lit(False)))
