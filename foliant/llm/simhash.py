@@ -10,9 +10,13 @@ cost one row.
 Buckets that hold more than ``CAP`` fingerprints are not paired. For a distance of at most
 two, an exact way takes over: fingerprints are within two bits if and only if their balls
 of radius one meet, and a point of that space lies in at most 1 + bits such balls, so each
-fingerprint sends its ball's points and the small groups give all links. For larger
-distances, for which segments find links with a probability only, members of a full bucket
-are verified against four of them, which is linear in the bucket.
+fingerprint sends its ball's points and the small groups give all links.
+
+Near-duplicates by shingle similarity (``similar_components``) differ in many bits, which
+segments find with a stated probability only (``segment_plan``). There a full bucket is first
+compared with one representative; members of one component need no further comparison, and
+only those that stay outside their bucket's main component are compared with the rest of it.
+So a hot group costs a few rows a member, and no pair that meets in a bucket is left out.
 
 Edge cases: a text without words has fingerprint zero and links like any other; null is an
 empty text. Rows that repeat stay, each with its component. A component's id is its
@@ -30,15 +34,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import map_arrow, materialize, utf8
+from foliant.llm.common import discard, map_arrow, materialize, n_rows, utf8
 from foliant.llm.graph import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 CAP = 48
-NEAR_CAP = 8  # for larger distances
-ROUND = 7  # segments that are searched at once
-DEALS = 2  # times the bits are cut into segments, for larger distances
-PIVOTS = 4  # members of a full bucket that all its members are verified against
+NEAR_CAP = 3  # for similar texts; by chance hardly any bucket has more
+ROUND = 8  # segments that are searched at once
+RECALL, CHANCE = 0.99, 2.0  # of pairs at the least similarity; unrelated fingerprints that a bucket holds on average
+DENSE = 8  # fingerprints of a bucket beyond which it is searched by complete distances
+WORDS, SKETCH = 4, 57  # a fingerprint's first words that rows carry; bits of them that differ in a candidate at most (at 15 % each: 39, and 6 more or less)
+HUBS = 2  # times that a bucket's members are compared with one of them, the best connected so far
 PART = 1 << 18  # shingles whose bits are summed at once
 
 
@@ -68,31 +74,49 @@ def fingerprint(h: np.ndarray, n_words: int = 1) -> np.ndarray:
     return out
 
 
-def segments_of(fp: np.ndarray, bits: int, deals: int) -> list[int]:
-    """Segments of ``bits`` bits: ``deals`` times all bits are shuffled (always alike) and cut into as many as they give."""
+def segment_plan(n: int, least: float) -> tuple[int, int]:
+    """Bits of a segment and number of segments for ``n`` fingerprints.
+
+    Longer tables take longer segments, so that chance fills a bucket with ``CHANCE`` others, and so many more
+    of them that a pair of similarity ``least`` meets in one (equal, or one bit apart) with probability ``RECALL``.
+    """
+    bits = max(12, math.ceil(math.log2(max(n, 1) / CHANCE)))
+    p = math.acos(2 * least / (1 + least)) / math.pi  # equally large sets: the share of bits that differ
+    meet = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    return bits, math.ceil(math.log(1 - RECALL) / math.log1p(-meet))
+
+
+def segments_of(fp: np.ndarray, bits: int, count: int) -> list[int]:
+    """``count`` segments of ``bits`` bits: the bits are shuffled (always alike) and cut, as often as it takes."""
     flat = np.unpackbits(fp.view(np.uint8), bitorder="little")
-    order = np.concatenate([np.random.default_rng(k).permutation(flat.size)[: flat.size // bits * bits] for k in range(deals)])
-    return (flat[order].reshape(-1, bits) @ (1 << np.arange(bits, dtype=np.int64))).tolist()
+    each = flat.size // bits
+    order = np.concatenate([np.random.default_rng(k).permutation(flat.size)[: each * bits] for k in range(-(-count // each))])
+    return (flat[order].reshape(-1, bits)[:count] @ (1 << np.arange(bits, dtype=np.int64))).tolist()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, n_words: int = 1, sets: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, n_words: int = 1, plan: tuple[int, int] | None = None) -> DataFrame:
     """doc_id, fp (array of 64-bit words), n (shingles), h (hash of the text, as xxhash64() has it), id: one row per row of ``docs``.
 
-    With ``sets`` a shingle counts once however often it stands in the text, and ``id`` is the set's; else it is the fingerprint's.
+    With ``plan`` (``segment_plan``) a shingle counts once however often it stands in the text, ``id`` is the set's (else the
+    fingerprint's), and ``segs`` and ``shingles`` (sorted hashes) come with it.
     """
 
-    def one(h: np.ndarray) -> tuple[list[int], int, int]:
-        h = np.unique(h) if sets else h
+    def one(h: np.ndarray) -> tuple:
+        h = np.unique(h) if plan else h
         fp = fingerprint(h, n_words).view(np.int64)
-        number = int(fp[0]) if n_words == 1 and not sets else int(np.uint64(xxhash.xxh64_intdigest((h if sets else fp).tobytes(), 42)).view(np.int64))
-        return fp.tolist(), h.size, number
+        number = int(fp[0]) if n_words == 1 and not plan else int(np.uint64(xxhash.xxh64_intdigest((h if plan else fp).tobytes(), 42)).view(np.int64))
+        return (fp.tolist(), h.size, number) + ((segments_of(fp.view(np.uint64), *plan), h.view(np.int64)) if plan else ())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = utf8(batch.column(1))
-        rows, sizes, numbers = zip(*(one(shingle_hashes(t, shingle)) for t in texts), strict=True) if texts else ([], [], [])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)), pa.array(numbers, pa.int64())], ["doc_id", "fp", "n", "h", "id"])
+        rows, sizes, numbers, *more = zip(*(one(shingle_hashes(t, shingle)) for t in texts), strict=True) if texts else ([],) * (5 if plan else 3)
+        hashes = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
+        columns = [batch.column(0), pa.array(rows, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(hashes), pa.array(numbers, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in more)]
+        return pa.RecordBatch.from_arrays(columns, names)
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp array<long>, n long, h long, id long")
+    names = ["doc_id", "fp", "n", "h", "id"] + ["segs", "shingles"] * bool(plan)
+    schema = "doc_id long, fp array<long>, n long, h long, id long" + ", segs array<long>, shingles array<long>" * bool(plan)
+    return map_arrow(docs.select("doc_id", "text"), run, schema, most_bytes=4 << 20)
 
 
 def distance(a: Column, b: Column, n_words: int) -> Column:
@@ -116,80 +140,112 @@ def _keys(value: Column, bits: int, ball: bool) -> Column:
     return F.concat(F.array(value), cleared)
 
 
-def link(fps: DataFrame, n_words: int, bits: int, most: int, sure: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Links (src, dst: numbers of fingerprints) between rows (id long, fp) at distance 1 to ``most`` (0 too where ids differ and fp do not).
+def link(fps: DataFrame, n_words: int, bits: int, most: int) -> DataFrame:
+    """All links (src, dst: numbers of fingerprints) between rows (id long, fp) at distance 1 to ``most``, two at most (0 too where ids differ and fp do not)."""
+    if most > 2:
+        raise ValueError("balls of radius one find distances of two at most")
+    own = [v + F.lit(j << 32) for j, v in enumerate(_segments(F.col("fp"), n_words, bits))]
+    home = fps.select("id", F.explode(F.array(*own)).alias("key"))
+    probe = fps.select("id", F.explode(F.concat(*[_keys(v, bits, True) for v in own])).alias("key"))
+    full = materialize(home.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CAP).select("key"))
+    any_full = full.limit(1).count() > 0
+    table = home.select(F.col("id").alias("dst"), "key")
+    if any_full:
+        table = table.join(full, "key", "left_anti").unionByName(full.select(F.lit(None).cast("long").alias("dst"), "key"))
+    hits = materialize(probe.join(table.hint("merge"), "key").where(F.col("dst").isNull() | (F.col("id") != F.col("dst"))).select(F.col("id").alias("src"), "dst").distinct())
+    out = _verified(hits.where("dst is not null"), fps, n_words, most)
+    if any_full:
+        heavy = hits.where("dst is null").select(F.col("src").alias("id")).distinct()
+        out = out.unionByName(_meet(fps.join(heavy, "id", "left_semi"), n_words))
+    return out
+
+
+def _rows(fps: DataFrame, bits: int, at: range, ball: bool) -> DataFrame:
+    """(key, id, root, s, n) for the segments numbered ``at``: those of the fingerprints, or of their balls (``home``: the centre)."""
+    own = fps.select("id", "root", "s", "n", F.posexplode(F.slice("segs", at.start + 1, len(at))).alias("j", "v"))
+    first = ((F.col("j") + at.start).cast("long") * F.lit(1 << bits)).alias("first")  # a segment's keys have a range of their own
+    if ball:
+        own = own.select("id", "root", "s", "n", F.col("v").alias("centre"), first, F.explode(_keys(F.col("v"), bits, True)).alias("v"))
+        return own.select("id", "root", "s", "n", (F.col("v") + F.col("first")).alias("key"), (F.col("v") == F.col("centre")).alias("home"))
+    return own.select("id", "root", "s", "n", (F.col("v") + first).alias("key"))
 
-    Segments are searched ``ROUND`` at a time, so what is shuffled at once is a part of all probes;
-    probes carry numbers only, fingerprints join the candidates later. If there is a column ``cell``,
-    only fingerprints whose cells differ by one at most are looked for: it keeps chance hits apart.
-    A column ``segs`` takes the place of the words' own segments. ``sure`` decides which of the pairs within
-    ``most`` are links; pairs that other links connect already are not asked about then.
+
+def _near(least: float) -> Column:
+    """Whether the rows (s, n) and (s2, n2) of two components may have a similarity of ``least``: by their first words and their sizes."""
+    return (F.col("root") != F.col("root2")) & (F.col("n") * least <= F.col("n2")) & (F.col("n2") * least <= F.col("n")) & (distance(F.col("s"), F.col("s2"), WORDS) <= SKETCH)
+
+
+def _other(rows: DataFrame, *more: Column) -> DataFrame:
+    return rows.select(F.col("id").alias("dst"), F.col("root").alias("root2"), F.col("s").alias("s2"), F.col("n").alias("n2"), "key", *more)
+
+
+def similar_components(fps: DataFrame, plan: tuple[int, int], n_words: int, most: int, least: float, sure: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, root) for rows (id, fp, n, segs): components of the pairs that meet in a bucket and that ``sure`` confirms.
+
+    ``n`` is the number of shingles. First all members of a bucket are compared with one of them, the best connected, and
+    components are contracted: pairs within one are not asked about again. Then balls are looked up. Their rows carry numbers and a
+    fingerprint's first words; in dense buckets, what is outside the main component is compared by complete distances.
     """
-    cells = "cell" in fps.columns
-    here = F.shiftleft(F.col("cell").cast("long"), 40) if cells else F.lit(0)
-    own_segments = [F.col("segs")[j] for j in range(n_words * 64 // bits * DEALS)] if "segs" in fps.columns else _segments(F.col("fp"), n_words, bits)
-    seg = [v + F.lit(j << 32) + here for j, v in enumerate(own_segments)]
-    cap = CAP if most <= 2 else NEAR_CAP
-    found, crowded, members = [], [], []
-    for at in range(0, len(seg), ROUND):
-        own = seg[at : at + ROUND]
-        homes = [v + F.lit(d << 40) for v in own for d in ((-1, 0, 1) if cells else (0,))]
-        home = fps.select("id", F.explode(F.array(*homes)).alias("key"))
-        probe = fps.select("id", F.explode(F.concat(*[_keys(v, bits, True) for v in own])).alias("key"))
-        pivots = [F.min(F.when(F.pmod("id", F.lit(PIVOTS)) == k, F.col("id"))) for k in range(PIVOTS)]
-        full = materialize(home.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_compact(F.array(*pivots)).alias("pivots")).where(F.col("n") > cap))
-        any_full = full.limit(1).count() > 0
-        table = home.select(F.col("id").alias("dst"), "key")
-        if any_full:
-            table = table.join(full.select("key"), "key", "left_anti").unionByName(full.select(F.lit(None).cast("long").alias("dst"), "key"))
-        hits = materialize(probe.join(table.hint("merge"), "key").where(F.col("dst").isNull() | (F.col("id") != F.col("dst"))).select(F.col("id").alias("src"), "dst").distinct())
-        found.append(hits)
-        if any_full:
-            crowded.append(home.join(full.select("key", "pivots"), "key").select(F.col("id").alias("src"), F.explode("pivots").alias("dst")).where("src <> dst"))
-            both = home.withColumn("home", F.lit(True)).unionByName(probe.withColumn("home", F.lit(False)))
-            members.append(both.join(full.select("key"), "key", "left_semi"))
-    pairs = _union(found)
-    light = pairs.where("dst is not null")
-    if most <= 2:
-        out = _verified(light, fps, n_words, most)
-        if crowded:
-            heavy = pairs.where("dst is null").select(F.col("src").alias("id")).distinct()
-            out = out.unionByName(_meet(fps.join(heavy, "id", "left_semi"), n_words))
-        return out
-    links = _decided(_verified(_union([light, *crowded]).distinct() if crowded or len(found) > 1 else light, fps, n_words, most), sure)
-    if not crowded:
-        return links
-    links = materialize(links)
-    apart = materialize(_apart(materialize(_union(members)), components(links)))
-    return links.unionByName(_decided(_verified(apart, fps, n_words, most), sure))
-
-
-def _decided(pairs: DataFrame, sure: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
-    """The links among ``pairs``, up to ones whose ends others connect: one pair a node is asked about first, then what is still apart."""
-    if sure is None:
-        return pairs
-    pairs = materialize(pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    first = materialize(sure(pairs.groupBy("src").agg(F.min("dst").alias("dst"))))
-    roots = components(first)
-    a, b = roots.select(F.col("node").alias("src"), F.col("root").alias("root1")), roots.select(F.col("node").alias("dst"), F.col("root").alias("root2"))
-    rest = pairs.join(a, "src", "left").join(b, "dst", "left").where(F.coalesce("root1", "src") != F.coalesce("root2", "dst")).select("src", "dst")
-    return first.unionByName(materialize(sure(materialize(rest))))
-
-
-def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs (src, dst) of a probe and a home row under one key (key, id, home) that ``roots`` does not connect.
-
-    Of such a pair one end at least is outside the key's most common component, so the rest of
-    the key is only compared with those: a key filled by one component gives no pairs.
+    bits, count = plan
+    fps = materialize(fps.select("id", "fp", F.slice("fp", 1, WORDS).alias("s"), "n", "segs", F.col("id").alias("root"), F.lit(0).cast("long").alias("degree")))
+
+    def contract(pairs: DataFrame) -> None:
+        nonlocal fps
+        ask = materialize(pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+        links = sure(ask)
+        of = fps.select("id", "root")
+        ends = links.join(of.select(F.col("id").alias("src"), F.col("root").alias("a")), "src").join(of.select(F.col("id").alias("dst"), F.col("root").alias("b")), "dst")
+        new = components(ends.select(F.col("a").alias("src"), F.col("b").alias("dst")).where("src <> dst"))
+        more = links.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("more"))
+        up = fps.join(new.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").withColumn("root", F.coalesce("up", "root"))
+        last, fps = fps, materialize(up.join(more, "id", "left").select("id", "fp", "s", "n", "segs", "root", (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree")))
+        discard(ask, last)
+
+    for _ in range(HUBS):
+        home = _rows(fps.withColumn("s", F.struct("degree", "s")), bits, range(count), False).select("key", "id", "root", "s.s", "n", "s.degree")
+        best = F.max_by(F.struct("id", "root", "s", "n"), F.struct("degree", "id")).alias("r")
+        hubs = home.groupBy("key").agg(F.count(F.lit(1)).alias("k"), best).where("k > 1").select("key", "r.*")
+        contract(home.join(_other(hubs), "key").where(_near(least)).select(F.col("id").alias("src"), "dst"))
+
+    found, dense = [], []
+    for a in range(0, count, ROUND):
+        at = range(a, min(count, a + ROUND))
+        home, probe = _rows(fps, bits, at, False), _rows(fps, bits, at, True)
+        by_root = home.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
+        full = by_root.groupBy("key").agg(F.sum("k").alias("k"), F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+        full = materialize(full.where(F.col("k") > DENSE).select("key", "main", "roots"))
+        marked = probe.join(full, "key", "left")
+        light = marked.where("main is null").drop("main", "roots", "home").join(_other(home.join(full, "key", "left_anti")).hint("merge"), "key").where(_near(least))
+        found.append(materialize(light.select(F.col("id").alias("src"), "dst").distinct()))
+        dense.append(materialize(marked.where("roots > 1 or root <> main").select("key", "id", "home")))
+        discard(full)
+    contract(_union(found))
+    met = _union(dense)
+    if met.limit(1).count():
+        contract(_apart(met, fps, bits, n_words, most, least))
+    discard(*found, *dense)
+    return fps.select("id", "root")
+
+
+def _apart(members: DataFrame, fps: DataFrame, bits: int, n_words: int, most: int, least: float) -> DataFrame:
+    """All candidates (src, dst) of a probe and a home row under one key (key, id, home) that have different roots.
+
+    Of such a pair one end at least is outside the key's most common component, so the rest of the key is only compared
+    with those. A pair counts under the first key alone at which its segments meet.
     """
-    rooted = materialize(members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
-    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = materialize(sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "main"))
-    rows = materialize(rooted.join(main, "key"))
-    probes = rows.where("not home").select("key", F.col("id").alias("src"), F.col("root").alias("root1"), (F.col("root") != F.col("main")).alias("out1"))
-    homes = rows.where("home").select("key", F.col("id").alias("dst"), F.col("root").alias("root2"), (F.col("root") != F.col("main")).alias("out2"))
-    met = probes.where("out1").join(homes, "key").unionByName(probes.where("not out1").join(homes.where("out2"), "key"))
-    return met.where("root1 <> root2").select("src", "dst").distinct()
+    rooted = materialize(members.join(fps.select("id", "root"), "id"))
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main")
+    rows = materialize(rooted.join(main, "key").join(fps.select("id", "s", "n", "fp", "segs"), "id"))
+    j = F.floor(F.col("key") / (1 << bits)).cast("int")
+    before = F.zip_with(F.slice("segs", F.lit(1), j), F.slice("segs2", F.lit(1), j), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    close = _near(least) & (distance(F.col("fp"), F.col("fp2"), n_words) <= most) & F.forall(before, lambda d: d > 1)
+    out = F.col("root") != F.col("main")
+    homes = lambda r: _other(r.where("home"), F.col("fp").alias("fp2"), F.col("segs").alias("segs2")).hint("merge")
+    meet = lambda p, h: p.join(homes(h), "key").where(close).select(F.col("id").alias("src"), "dst")
+    pairs = materialize(meet(rows.where(out), rows).unionByName(meet(rows.where(~out), rows.where(out))))
+    discard(rooted, rows)
+    return pairs
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -219,50 +275,48 @@ def _meet(fps: DataFrame, n_words: int) -> DataFrame:
     return groups.select(F.array_min("ids").alias("dst"), F.explode("ids").alias("src")).where("src <> dst")
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets of shingles; empty ones are equal."""
-    both = np.intersect1d(a, b, assume_unique=True).size
-    return both / (a.size + b.size - both) if a.size or b.size else 1.0
+def _similar(pairs: DataFrame, texts: DataFrame, n_words: int, most: int, least: float) -> DataFrame:
+    """The ``pairs`` (src, dst) whose texts (id, fp, n, shingles) differ in ``most`` bits at most and share shingles enough."""
+    side = lambda end, k: texts.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}{k}") for c in ("fp", "n", "shingles")])
+    both = pairs.join(side("src", 1), "src").join(side("dst", 2), "dst")
+    near = both.where(distance(F.col("fp1"), F.col("fp2"), n_words) <= most)
+    shared = F.size(F.array_intersect("shingles1", "shingles2"))
+    total = F.col("n1") + F.col("n2") - shared
+    return near.where((total == 0) | (shared >= total * least)).select("src", "dst")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The ``pairs`` (src, dst) whose texts (id, text) have a shingle similarity of ``least``."""
+def near_duplicates(docs: DataFrame, shingle: int = 3, n_words: int = 1, bits: int = 32, most: int = 2) -> DataFrame:
+    """doc_id, fp, h, component_id for each row of ``docs``: components of fingerprints at ``most`` differing bits or fewer."""
+    each = materialize(fingerprints(docs, shingle, n_words))
+    distinct = materialize(each.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")))
+    roots = components(link(distinct.select("id", "fp"), n_words, bits, most)).select(F.col("node").alias("id"), "root")
+    return _named(each, distinct, distinct.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = ([np.unique(shingle_hashes(t, shingle)) for t in utf8(batch.column(k))] for k in (2, 3))
-        return batch.select([0, 1]).filter(pa.array([similarity(a, b) >= least for a, b in zip(*sets, strict=True)], pa.bool_()))
-
-    a, b = texts.select(F.col("id").alias("src"), F.col("text").alias("text1")), texts.select(F.col("id").alias("dst"), F.col("text").alias("text2"))
-    return map_arrow(pairs.join(a, "src").join(b, "dst").select("src", "dst", "text1", "text2"), run, "src long, dst long")
 
+def _named(each: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``each`` with their component's smallest doc_id."""
+    of = materialize(distinct.select("id", "least").join(roots, "id").select("id", "least", "root"))
+    ids = materialize(of.groupBy("root").agg(F.min("least").alias("component_id")))  # a table of its own: a hot root's rows can be split then
+    known = materialize(of.join(ids, "root").select("id", "component_id"))
+    return each.join(known, "id").select("doc_id", "fp", "h", "component_id")
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, n_words: int = 1, bits: int = 32, most: int = 2, least: float = 0.0) -> DataFrame:
-    """doc_id, fp, h, component_id for each row of ``docs``; ``least``: links are pairs of at least this shingle similarity."""
-    each = materialize(fingerprints(docs, shingle, n_words, least > 0))
-    distinct = each.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("h").alias("h"))
-    numbered = materialize(distinct.select("id", "fp", "least", "h", (F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / -math.log(least)) + 1 if least else F.lit(0)).cast("int").alias("cell")))
-    if least:
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            segs = [segments_of(np.array(fp, np.int64).view(np.uint64), bits, DEALS) for fp in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(segs, pa.list_(pa.int64()))], ["id", "fp", "cell", "segs"])
 
-        cut = materialize(map_arrow(numbered.select("id", "fp", "cell"), run, "id long, fp array<long>, cell int, segs array<long>"))
-        hashed = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+def similar_documents(docs: DataFrame, shingle: int = 5, n_words: int = 16, most: int = 187, least: float = 0.8) -> DataFrame:
+    """doc_id, fp, h, component_id for each row of ``docs``: components of texts whose sets of shingles have a similarity of ``least``."""
+    plan = segment_plan(n_rows(docs), least)
+    each = materialize(fingerprints(docs, shingle, n_words, plan))
+    distinct = materialize(each.groupBy("id").agg(F.first("fp").alias("fp"), F.first("segs").alias("segs"), F.min("doc_id").alias("least"), F.first("n").alias("n")))
 
-        def sure(pairs: DataFrame) -> DataFrame:
-            asked = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-            texts = materialize(hashed.join(numbered.join(asked, "id", "left_semi").select("id", "h"), "h").groupBy("id").agg(F.first("text").alias("text")))
-            return _similar(pairs, texts, shingle, least)
+    def sure(pairs: DataFrame) -> DataFrame:
+        asked = materialize(pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+        texts = each.select("id", "fp", "n", "shingles").join(asked, "id", "left_semi").dropDuplicates(["id"])
+        texts = materialize(texts)
+        out = materialize(_similar(pairs, texts, n_words, most, least))
+        discard(asked, texts)
+        return out
 
-        links = link(cut, n_words, bits, most, sure)
-    else:
-        links = link(numbered.select("id", "fp"), n_words, bits, most)
-    roots = components(links)
-    of = materialize(numbered.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")))
-    ids = materialize(of.groupBy("root").agg(F.min("least").alias("component_id")))  # a table of its own: a hot root's rows can be split then
-    known = materialize(of.join(ids, "root").select("id", "component_id"))
-    return each.join(known, "id").select("doc_id", "fp", "h", "component_id")
+    roots = similar_components(distinct, plan, n_words, most, least, sure)
+    return _named(each, distinct, roots)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
@@ -270,16 +324,14 @@ def op9(spark, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For near-duplicates proper: five-word shingles, eight words of 64 bits. A similarity (Jaccard) of 0.8 is an angle at
-#: which 15.1 % of the bits differ, 77 of 512 and 8 more or less; 112 make a candidate. The shingles themselves decide
-#: then. A similarity of 0.8 also bounds the ratio of the numbers of distinct shingles by 1.25. Fingerprints and sizes are
-#: the sets', so that repetition within a text changes neither.
-NEAR = {"shingle": 5, "n_words": 8, "bits": 24, "most": 112, "least": 0.8}
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest (doc_id, text hash) stays."""
-    got = materialize(near_duplicates(docs, **NEAR).select("doc_id", "h", "component_id"))
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest (doc_id, text hash) stays.
+
+    Five-word shingles, similarity 0.8 (``similar_documents``). At that similarity 15.1 % of the bits differ, 155 of 1024 and
+    11 more or less; up to 187 make a candidate, and the shingles decide. Fingerprints and sizes are the sets', so that
+    repetition within a text changes neither. Texts without words are all alike, null ones too: one of them stays.
+    """
+    got = materialize(similar_documents(docs).select("doc_id", "h", "component_id"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     first = materialize(got.groupBy("component_id").agg(F.min(place).alias("p")).select(F.col("p.doc_id").alias("keep_id"), F.col("p.h").alias("keep_h")))
     same = lambda df: df["doc_id"].eqNullSafe(first["keep_id"]) & (df["__text_hash"] == first["keep_h"])
