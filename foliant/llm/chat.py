@@ -132,8 +132,8 @@ def segments(turns: Column) -> Column:
         F.transform(
             turns,
             lambda t: F.array(
-                part(F.concat(F.lit(ROLE), escaped(t["role"]), F.lit(TEXT)), F.lit(False)),
-                part(escaped(t["text"]), t["role"] == "assistant"),
+                part(F.concat(F.lit(ROLE), escaped(F.coalesce(t["role"], F.lit(""))), F.lit(TEXT)), F.lit(False)),
+                part(escaped(F.coalesce(t["text"], F.lit(""))), F.coalesce(t["role"] == "assistant", F.lit(False))),
                 part(F.lit(END), F.lit(False)),
             ),
         )
@@ -142,7 +142,7 @@ def segments(turns: Column) -> Column:
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) -> conv_id, segments, formatted: one row per conversation."""
-    each = F.struct("turn", "role", "text")
+    each = F.struct("turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
     whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(each)).alias("__turns"))
     parts = whole.select("conv_id", segments(F.col("__turns")).alias("segments"))
     return parts.select("conv_id", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"))

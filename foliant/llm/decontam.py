@@ -14,6 +14,8 @@ Items under ``min_chars`` characters after reduction match unchanged and on word
 (beside a letter of a script without spaces any place is one), as with edits or within words
 they would match anywhere.
 
+Items with equal texts are searched once.
+
 Edge cases: null items and those without word characters never match. Null and empty documents have no hits. Items and
 documents that repeat give their rows as often. No item or no document: no rows.
 """
@@ -27,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import map_arrow
+from foliant.llm.common import map_arrow, materialize
+from foliant.llm.ordering import running_offsets
 
 RATE, MIN_CHARS, BLOCK_CHARS = 0.05, 40, 4_000_000
 _WORDS = re.compile(r"[^\W_]+")
@@ -118,39 +121,45 @@ class Matcher:
         return found
 
 
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
-    """The items, reduced, in blocks of bounded size."""
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
-    n = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // (block_chars // 2))
-    for k in range(n):
-        block = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else items
-        rows = [(r["item_id"], reduced(r["text"])) for r in block.orderBy(F.col("item_id").asc_nulls_last(), "text").collect()]
+def texts_of(benchmark: DataFrame) -> DataFrame:
+    """The different texts of the items: text, n (characters), at (characters of all texts before; it tells texts apart)."""
+    each = benchmark.select("text").where(F.length("text") > 0).distinct().withColumn("n", F.length("text").cast("long"))
+    return materialize(running_offsets(each, [F.col("text")], "n", "at"))
+
+
+def blocks(texts: DataFrame, block_chars: int = BLOCK_CHARS):
+    """The texts as (at, reduced text), in blocks of ``block_chars`` characters (and one text more at most)."""
+    last = texts.agg(F.max("at")).first()[0]
+    for k in range(0 if last is None else last // block_chars + 1):
+        block = texts.where(F.col("at").between(k * block_chars, (k + 1) * block_chars - 1)).select("at", "text")
+        rows = [(r["at"], reduced(r["text"])) for r in sorted(block.collect())]
         yield [(i, t) for i, t in rows if t]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, item_id, distance, item_chars: one row for each test item that a document holds."""
-    schema = "doc_id long, item_id long, distance long, item_chars long"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for items in blocks(benchmark):
+    schema = "doc_id long, at long, distance long, item_chars long"
+    texts = texts_of(benchmark)
+    found = docs.sparkSession.createDataFrame([], schema)
+    for items in blocks(texts):
         shared = docs.sparkSession.sparkContext.broadcast(items)  # BLOCK_CHARS bounds it
-        size = {i: len(t) for i, t in items}
 
-        def run(batch: pa.RecordBatch, shared=shared, made=[], size=size) -> pa.RecordBatch:
+        def run(batch: pa.RecordBatch, shared=shared, made=[]) -> pa.RecordBatch:
             if not made:
-                made.append(Matcher(shared.value, rate, min_chars))
-            rows = [(d, i, n, size[i]) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, n in made[0].hits(t)]
+                made += [Matcher(shared.value, rate, min_chars), {at: len(t) for at, t in shared.value}]
+            rows = [(d, i, n, made[1][i]) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, n in made[0].hits(t)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "distance", "item_chars"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "at", "distance", "item_chars"])
 
-        out = out.unionByName(map_arrow(docs.select("doc_id", "text"), run, schema))
-    return out
+        found = found.unionByName(map_arrow(docs.select("doc_id", "text"), run, schema))
+    named = benchmark.select("item_id", "text").join(texts.select("text", "at"), "text").drop("text")
+    return found.join(named, "at").select("doc_id", F.col("item_id").cast("long").alias("item_id"), "distance", "item_chars")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of ``docs``, every column as it was, that hold no test item."""
     at = docs.columns.index("text")
-    for items in blocks(benchmark):
+    for items in blocks(texts_of(benchmark)):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batch: pa.RecordBatch, shared=shared, made=[]) -> pa.RecordBatch:

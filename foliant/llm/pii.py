@@ -1,12 +1,16 @@
 """Personal data: fixed patterns, and contextual extraction bootstrapped from them.
 
 What the fixed patterns find are the seeds. A candidate is any other token with a digit
-(such as account or ticket numbers); the words to the left and right of seeds and candidates
-are lexical patterns: ``L`` (left word), ``R`` (right word) and ``B`` (both). Patterns and instances (lower-cased
-values) make a bipartite graph. In each round a pattern's confidence in a kind is the mean
-confidence of its instances (seeds have 1), and an instance's confidence is that at least
-one of its trusted patterns is right. Patterns are trusted from ``SUPPORT`` distinct
-seeds and confidence ``TRUST`` on. Candidates that reach ``TRUST`` are reported with the kind.
+(such as account or ticket numbers); tokens of at most ``SHORT`` characters are seeds of the
+alternative, ``none``. Patterns are lexical: the shape of the token (digits, runs of letters,
+signs), and the one or two words to its left, to its right, or on both sides, with the token's
+class (letters or numbers only). Patterns and instances (lower-cased values) make a bipartite
+graph. In each round a pattern's confidence in a kind is that kind's share of its instances'
+weight (seeds weigh 1, instances found before their confidence, unknown ones ``UNKNOWN``), so
+each round's finds can raise patterns that the seeds alone did not. Patterns are trusted from
+``SUPPORT`` instances and confidence ``TRUST`` on; an instance's confidence in a kind is that
+at least one trusted pattern is right, times the odds that none of another kind is.
+Candidates that reach ``ACCEPT`` for a kind, none excepted, are reported with it.
 
 Column functions do all the work; offsets are code points, ends exclusive. Edges are counted
 before they are shuffled, so a frequent word costs one row per instance.
@@ -20,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialize
+from foliant.llm.common import discard, materialize
 from foliant.llm.native_spans import digest, found, tagged
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS, NONE = ("email", "ip", "card", "phone"), "none"
 LOCAL = "A-Za-z0-9._%+-"
 #: The lookbehinds let a search start only where a run of characters does (or the last match ended): equal matches in linear time.
 EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -31,7 +35,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<!\S)(?=[^\s0-9]*+[0-9])\S++"
-ROUNDS, SUPPORT, TRUST = 3, 5, 0.9
+ROUNDS, SUPPORT, TRUST, ACCEPT, UNKNOWN, SHORT = 3, 5, 0.8, 0.8, 0.02, 4
 NEAR = 48  # characters in which a neighbouring word is looked for
 
 
@@ -65,9 +69,11 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _context(text: Column, start: Column, end: Column) -> list[Column]:
-    word = lambda x, p: F.lower(F.regexp_extract(x, p, 1))
-    left = word(F.substring(text, F.greatest(F.lit(1), start - NEAR + 1), F.least(start, F.lit(NEAR))), r"([^\s\p{Punct}]+)[\s\p{Punct}]*$")
-    right = word(F.substring(text, end + 1, F.lit(NEAR)), r"^[\s\p{Punct}]*([^\s\p{Punct}]+)")
+    """Up to two words on either side, lower-cased, joined by a space."""
+    words = lambda x, p, a, b: F.lower(F.concat_ws(" ", F.nullif(F.regexp_extract(x, p, a), F.lit("")), F.nullif(F.regexp_extract(x, p, b), F.lit(""))))
+    word = r"([^\s\p{Punct}]+)"
+    left = words(F.substring(text, F.greatest(F.lit(1), start - NEAR + 1), F.least(start, F.lit(NEAR))), rf"(?:{word}[\s\p{{Punct}}]+)?{word}[\s\p{{Punct}}]*$", 1, 2)
+    right = words(F.substring(text, end + 1, F.lit(NEAR)), rf"^[\s\p{{Punct}}]*{word}(?:[\s\p{{Punct}}]+{word})?", 1, 2)
     return [left.alias("left"), right.alias("right")]
 
 
@@ -82,36 +88,47 @@ def occurrences(docs: DataFrame) -> DataFrame:
         (t["end"] - F.length(F.regexp_extract(t["value"], r"(\p{Punct}*)$", 1))).alias("end"),
         F.regexp_replace(t["value"], r"^\p{Punct}+|\p{Punct}+$", "").alias("value"),
     ))
-    place = lambda spans, kind: F.transform(spans, lambda s: F.struct(F.lit(kind).cast("string").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"), *_context(F.col("text"), s["start"], s["end"])))
+    kind_of = lambda s, kind: F.lit(kind) if kind else F.when(F.length(s["value"]) <= SHORT, F.lit(NONE))
+    place = lambda spans, kind: F.transform(spans, lambda s: F.struct(kind_of(s, kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"), *_context(F.col("text"), s["start"], s["end"])))
     return rows.select("doc_id", "h", *KINDS, F.concat(*[place(F.col(k), k) for k in KINDS], place(trimmed, None)).alias("seen"))
 
 
 def _patterns() -> Column:
+    """The patterns of an occurrence (value, left, right)."""
     left, right = F.col("left"), F.col("right")
-    return F.filter(
-        F.array(F.when(left != "", F.concat(F.lit("L:"), left)), F.when(right != "", F.concat(F.lit("R:"), right)), F.when((left != "") & (right != ""), F.concat(F.lit("B:"), left, F.lit("|"), right))),
-        lambda p: p.isNotNull(),
-    )
+    shape = F.regexp_replace(F.regexp_replace("value", r"\p{L}+", "a"), "[0-9]", "9")
+    sort = F.when(F.col("value").rlike(r"\p{L}"), "a ").otherwise("9 ")
+    near = F.array(*[F.when(w != "", F.concat(F.lit(name), sort, w)) for name, w in (("L:", F.substring_index(left, " ", -1)), ("LL:", F.when(left.contains(" "), left)), ("R:", F.substring_index(right, " ", 1)), ("RR:", F.when(right.contains(" "), right)))])
+    both = F.when((left != "") & (right != ""), F.concat(F.lit("B:"), sort, F.substring_index(left, " ", -1), F.lit("|"), F.substring_index(right, " ", 1)))
+    return F.array_compact(F.concat(F.array(F.concat(F.lit("S:"), shape)), near, F.array(both)))
+
 
+def bootstrap(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST, accept: float = ACCEPT) -> DataFrame:
+    """Rows (kind or null, value, left, right) -> (value, kind, confidence) of candidates that reach ``accept``.
 
-def bootstrap(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
-    """Rows (kind or null, value, left, right) -> (value, kind, confidence) of candidates that reach ``trust``."""
+    A value that is a seed anywhere is a seed everywhere; of several kinds the smallest name counts.
+    """
     edges = materialize(seen.select("kind", "value", F.explode(_patterns()).alias("pattern")).groupBy("pattern", "value").agg(F.min("kind").alias("seed")))
-    seeds = edges.where("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("n_seeds"))
-    hopeful = seeds.where(F.col("n_seeds") >= support).select("pattern", "kind")
-    total = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    patterns = materialize(hopeful.join(total, "pattern"))  # what can ever be trusted
-    graph = materialize(edges.join(patterns.select("pattern", "kind"), "pattern").select("pattern", "kind", "value", F.when(F.col("seed") == F.col("kind"), 1.0).otherwise(F.lit(0.0)).alias("weight"), "seed"))
-    sure = graph.where("weight = 1").select("value", "kind", F.lit(1.0).alias("confidence")).distinct()
-    known = sure
+    seeds = materialize(edges.where("seed is not null").groupBy("value").agg(F.min("seed").alias("kind")).withColumn("confidence", F.lit(1.0)))
+    total = materialize(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support))
+    open_ = materialize(edges.join(seeds, "value", "left_anti").select("pattern", "value"))
+    drawn = None
     for _ in range(rounds):
-        joined = graph.join(known, ["value", "kind"], "left")
-        mass = joined.groupBy("pattern", "kind").agg(F.sum(F.greatest("weight", F.coalesce("confidence", F.lit(0.0)))).alias("mass"))
-        good = materialize(mass.join(patterns, ["pattern", "kind"]).select("pattern", "kind", (F.col("mass") / F.col("n")).alias("p")).where(F.col("p") >= trust))
+        known = seeds if drawn is None else seeds.unionByName(drawn)
+        mass = edges.join(known, "value").groupBy("pattern", "kind").agg(F.sum("confidence").alias("mass"))
+        sums = mass.groupBy("pattern").agg(F.sum("mass").alias("all"))
+        share = F.col("mass") / (F.col("all") + UNKNOWN * F.greatest(F.col("n") - F.col("all"), F.lit(0.0)))
+        good = materialize(mass.where(F.col("mass") >= support).join(sums, "pattern").join(total, "pattern").select("pattern", "kind", share.alias("p")).where(F.col("p") >= trust))
         wrong = F.log1p(-F.least(F.col("p"), F.lit(0.999)))
-        drawn = graph.where("seed is null").join(good, ["pattern", "kind"]).groupBy("value", "kind").agg((1 - F.exp(F.sum(wrong))).alias("confidence"))
-        known = materialize(sure.unionByName(drawn.where(F.col("confidence") >= trust)))
-    return known.join(sure.select("value", "kind"), ["value", "kind"], "left_anti")
+        votes = open_.join(good, "pattern").groupBy("value", "kind").agg(F.sum(wrong).alias("wrong"))
+        against = votes.groupBy("value").agg(F.sum("wrong").alias("every"))
+        score = (1 - F.exp("wrong")) * F.exp(F.col("every") - F.col("wrong"))
+        last, drawn = drawn, materialize(votes.join(against, "value").select("value", "kind", score.alias("confidence")).where(F.col("confidence") >= accept))
+        discard(good)
+        if last is not None:
+            discard(last)
+    discard(edges, seeds, total, open_)
+    return drawn.where(F.col("kind") != NONE)
 
 
 def find(docs: DataFrame) -> DataFrame:

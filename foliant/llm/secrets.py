@@ -3,7 +3,7 @@
 Both models are bigram tables over letters, digits and a few signs, trained from labelled
 samples: random strings are the values that the fixed patterns find in a bounded sample of
 documents, with strings made by hashing so that a small table has some too; ordinary ones
-are the sample's other words. A candidate is a run of at least ``LEAST`` characters with a letter and a digit;
+are the sample's other words, as they stand, in capitals and joined by ``_``. A candidate is a run of at least ``LEAST`` characters with a letter, long words too;
 its score is the sum of log-likelihood ratios along it, and it is reported as
 ``random:start:end`` if the mean ratio reaches ``MEAN`` and no fixed pattern covers any of it.
 
@@ -11,7 +11,7 @@ Column functions do all the work; offsets are code points, ends exclusive.
 
 Edge cases: null and empty texts have no spans (base_sha256 is that of the empty string).
 Rows repeat as they come. An empty table gives no rows. Runs without a letter (card
-numbers) or without a digit are not candidates.
+numbers) are not candidates.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]\x20*+[\"']
 ACCESS, HEX = r"AKIA[A-Z0-9]{12,}+", r"[0-9a-f]{32,}+"
 SIGNS = "A-Za-z0-9+/_=-"
 LEAST, MEAN = 16, 1.0
-CANDIDATE = rf"(?<![{SIGNS}])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[{SIGNS}]{{{LEAST},}}+"
+CANDIDATE = rf"(?<![{SIGNS}])(?=[0-9+/_=-]*+[A-Za-z])[{SIGNS}]{{{LEAST},}}+"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
-SAMPLE = 20_000  # documents whose words train the models, about
+SAMPLE = 5_000  # documents whose words train the models, about
 MADE = 400  # random strings of each sort that are made
 
 
@@ -46,21 +46,24 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _pairs(strings: DataFrame) -> DataFrame:
-    """Counts of neighbouring characters of the alphabet: (label, pair, n)."""
+    """Counts of neighbouring characters of the alphabet: (label, pair, n). Equal strings are cut once."""
     at = F.sequence(F.lit(1), F.length("s") - 1)
-    return strings.where(F.length("s") >= 2).select("label", F.explode(F.transform(at, lambda i: F.substring(F.col("s"), i, F.lit(2)))).alias("pair")).groupBy("label", "pair").agg(F.count(F.lit(1)).alias("n"))
+    each = strings.where(F.length("s") >= 2).groupBy("label", "s").agg(F.count(F.lit(1)).alias("m"))
+    return each.select("label", "m", F.explode(F.transform(at, lambda i: F.substring(F.col("s"), i, F.lit(2)))).alias("pair")).groupBy("label", "pair").agg(F.sum("m").alias("n"))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     """The log-likelihood ratio of each pair of characters, by 0-based numbers ``first * size + second``; unknown characters come first in each."""
     spark = docs.sparkSession
     n = docs.select("doc_id").agg(F.count(F.lit(1))).first()[0]
-    some = docs.where(F.pmod(F.xxhash64(F.lit("secrets"), F.col("doc_id")), F.lit(max(1, n))) < sample).select(F.coalesce("text", F.lit("")).alias("text"))
+    some = docs.where(F.pmod(F.xxhash64(F.lit("secrets"), F.col("doc_id"), F.col("text")), F.lit(max(1, n))) < sample).select(F.coalesce("text", F.lit("")).alias("text"))
     values = F.transform(F.concat(*base_spans(F.col("text")).values()), lambda s: F.regexp_extract(s["value"], f"{VALUE}+$", 0))
     ordinary = F.regexp_extract_all("text", F.lit(r"(?<![^\s])[A-Za-z_-]{4,}(?![^\s])"), F.lit(0))
-    labelled = some.select(F.explode(values).alias("s")).select(F.lit("random").alias("label"), "s").unionByName(some.select(F.explode(ordinary).alias("s")).select(F.lit("ordinary").alias("label"), "s"))
+    words = some.select(F.explode(ordinary).alias("s")).select(F.lit("ordinary").alias("label"), "s")
+    labelled = some.select(F.explode(values).alias("s")).select(F.lit("random").alias("label"), "s").unionByName(words).unionByName(words.select("label", F.explode(F.array(F.upper("s"), F.concat("s", F.lit("_"), "s"))).alias("s")))
     key = F.sha2(F.concat(F.lit("made"), F.col("id").cast("string")), 256)
-    kinds = [F.substring(key, 1, 40), F.substring(F.base64(F.unhex(key)), 1, 40), F.translate(F.upper(F.substring(F.base64(F.unhex(key)), 1, 20)), "+/", "AZ")]
+    mixed = F.base64(F.unhex(key))
+    kinds = [F.substring(key, 1, 40), F.substring(mixed, 1, 40), F.translate(F.upper(F.substring(mixed, 1, 20)), "+/", "AZ"), F.regexp_replace(mixed, "[^A-Za-z]", "")]
     made = spark.range(MADE).select(F.lit("random").alias("label"), F.explode(F.array(*kinds)).alias("s"))
     counts = {(r["label"], r["pair"]): r["n"] for r in _pairs(labelled.unionByName(made)).where(F.length("pair") == 2).where(F.col("pair").rlike(rf"^[.{SIGNS}]{{2}}$")).collect()}
     size = len(ALPHABET) + 1
@@ -84,20 +87,21 @@ def ratio(token: Column, table: Column) -> Column:
     return total / (F.length(token) - 1)
 
 
-def spans_of(text: Column, table: list[float], mean: float = MEAN) -> dict[str, Column]:
-    """The spans by kind: array<struct<start, end, value>> each."""
+def with_spans(rows: DataFrame, text: str, table: list[float], mean: float = MEAN) -> DataFrame:
+    """``rows`` with the spans in column ``text`` by kind, array<struct<start, end, value>> each: assign, access, hex, random, and ``n_scored``, the runs that the models scored.
+
+    Step by step, so that no search is run again for each candidate.
+    """
     ratios = F.from_json(F.lit(json.dumps(table)), "array<double>")  # a folded literal of fixed size
-    base = base_spans(text)
-    runs = found(text, CANDIDATE, text.rlike(CANDIDATE))
-    taken = F.concat(*base.values())
-    free = lambda r: ~F.exists(taken, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    return base | {"random": F.filter(runs, lambda r: free(r) & (ratio(r["value"], ratios) >= mean))}
+    base = rows.withColumns(base_spans(F.col(text))).withColumn("random", found(F.col(text), CANDIDATE, F.col(text).rlike(CANDIDATE)))
+    free = lambda r: ~F.exists("taken", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+    scored = base.withColumn("taken", F.concat(*KINDS)).withColumn("random", F.filter("random", free)).drop("taken")
+    return scored.withColumns({"n_scored": F.size("random").cast("long"), "random": F.filter("random", lambda r: ratio(r["value"], ratios) >= mean)})
 
 
 def scan(docs: DataFrame, mean: float = MEAN) -> DataFrame:
     """doc_id, text and the spans by kind, one row per row of ``docs``."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("doc_id", "text", *[v.alias(k) for k, v in spans_of(F.col("text"), train(docs), mean).items()])
+    return with_spans(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", train(docs), mean)
 
 
 KINDS, MASK = ("assign", "access", "hex"), "<secret>"
@@ -112,16 +116,22 @@ def op7(spark, sf_dir: str) -> DataFrame:
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(digest(by_start(base)), 256).alias("base_sha256"),
         digest(by_start(F.concat(base, ranked("random", len(KINDS))))).alias("spans"),
+        F.size("random").cast("long").alias("n_random"), "n_scored",
     )
 
 
 def without_secrets(docs: DataFrame, mean: float = MEAN) -> DataFrame:
-    """The rows of ``docs`` with each secret in the text replaced by ``<secret>``; other columns and texts stay as they are."""
-    text = F.coalesce("text", F.lit(""))
-    spans = F.array_sort(F.concat(*spans_of(text, train(docs), mean).values()))
+    """The rows of ``docs`` with each secret in the text replaced by ``<secret>``; other columns and texts stay as they are.
+
+    ``n_chars``, if there is one, follows the text. A null text stays null.
+    """
+    own = F.struct("*").alias("row")  # so that no column of the documents can clash with those made here
+    rows = with_spans(docs.select(own, F.coalesce("text", F.lit("")).alias("whole")), "whole", train(docs), mean)
+    rows = rows.select("row", "whole", F.array_sort(F.concat(*KINDS, "random")).alias("spans"))
+    text = F.col("whole")
     # what spans overlap counts once: each span begins where the ones before have ended
     built = F.aggregate(
-        spans,
+        "spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
@@ -129,7 +139,6 @@ def without_secrets(docs: DataFrame, mean: float = MEAN) -> DataFrame:
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    masked = {"text": F.when(F.size(spans) > 0, built).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        masked["n_chars"] = F.when(F.size(spans) > 0, F.length(built)).otherwise(F.col("n_chars"))
-    return docs.withColumns({k: v.cast(docs.schema[k].dataType) for k, v in masked.items()})
+    rows = rows.select("row", F.when(F.size("spans") > 0, built).otherwise(F.col("row.text")).alias("masked"))
+    new = {"text": F.col("masked"), "n_chars": F.when(F.col("masked").eqNullSafe(F.col("row.text")), F.col("row.n_chars") if "n_chars" in docs.columns else None).otherwise(F.length("masked"))}
+    return rows.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col("row")[c]).alias(c) for c in docs.columns])

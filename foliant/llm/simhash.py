@@ -207,7 +207,7 @@ def similar_components(fps: DataFrame, plan: tuple[int, int], n_words: int, most
         hubs = home.groupBy("key").agg(F.count(F.lit(1)).alias("k"), best).where("k > 1").select("key", "r.*")
         contract(home.join(_other(hubs), "key").where(_near(least)).select(F.col("id").alias("src"), "dst"))
 
-    found, dense = [], []
+    found, dense, scratch = [], [], []
     for a in range(0, count, ROUND):
         at = range(a, min(count, a + ROUND))
         home, probe = _rows(fps, bits, at, False), _rows(fps, bits, at, True)
@@ -217,13 +217,16 @@ def similar_components(fps: DataFrame, plan: tuple[int, int], n_words: int, most
         marked = probe.join(full, "key", "left")
         light = marked.where("main is null").drop("main", "roots", "home").join(_other(home.join(full, "key", "left_anti")).hint("merge"), "key").where(_near(least))
         found.append(materialize(light.select(F.col("id").alias("src"), "dst").distinct()))
-        dense.append(materialize(marked.where("roots > 1 or root <> main").select("key", "id", "home")))
+        open_ = materialize(marked.where("roots > 1 or root <> main").select("key", "id", "home", "roots"))
+        whole = open_.where("roots = 1").select("key").distinct()  # homes of one component, and probes of others
+        dense += [open_.drop("roots"), materialize(home.join(whole, "key", "left_semi").select("key", "id", F.lit(True).alias("home")))]
+        scratch += [open_, dense[-1]]
         discard(full)
     contract(_union(found))
     met = _union(dense)
     if met.limit(1).count():
         contract(_apart(met, fps, bits, n_words, most, least))
-    discard(*found, *dense)
+    discard(*found, *scratch)
     return fps.select("id", "root")
 
 

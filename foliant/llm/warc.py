@@ -1,31 +1,31 @@
 """Merkle fixity audit of WARC replicas.
 
-Records are hashed, laid out at byte offsets in the archive's order, and the offsets are cut
-into ranges of ``LEAF`` bytes: a leaf's digest covers its records' offsets and digests in order,
-and every ``FANOUT`` neighbouring nodes make one node of the next level, up to the root. Two
-replicas compare roots and then only the children of nodes that differ; in leaves that
-differ the records themselves tell what is corrupt, missing or extra.
+Records are hashed and laid out at byte offsets in the archive's order. The offsets are cut into
+ranges before records whose own hash says so (one in ``LEAF``), so two replicas that were laid out each by
+itself cut alike, and a lost or lengthened record changes its own range alone. A leaf's digest
+covers its records' digests in order; of the marks between leaves one in ``FANOUT`` is also one
+between nodes of the next level, and so on up to the root. Two replicas compare roots and then
+only the children of nodes that differ; in leaves that differ the records themselves tell what
+is corrupt, missing or extra.
 
-The replicas must share offsets: records are compared by ``byte_offset``, which a replica's
-manifest has to carry over from the original layout. A replica laid out by itself would after
-a lost or lengthened record differ in all later offsets, and each later record be reported.
-
-A leaf holds at most LEAF bytes of records (each has a header), a node FANOUT children: no
-group grows with the data.
+Leaves hold LEAF records on average and nodes FANOUT children; records that repeat wholly count
+as one there. No group grows with the data.
 
 Edge cases: null urls and payloads are empty ones. Null ids come first in the layout.
-Records that repeat lie at offsets of their own. Empty replicas have the same (no) root.
+Records that repeat lie at offsets of their own; of those with one page_id, equal ones pair
+off first and the rest in order. Empty replicas have the same (no) root.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialize
-from foliant.llm.ordering import running_offsets
+from foliant.llm.common import materialize, n_rows
+from foliant.llm.ordering import last_marks, running_offsets
 
-LEAF, FANOUT = 1 << 16, 16
+LEAF, FANOUT = 64, 16
+FIRST = -1 << 63  # what lies before all marks
 
 
 def warc_record(url: Column, payload: Column) -> Column:
@@ -42,54 +42,57 @@ def lay_out(pages: DataFrame) -> DataFrame:
     return running_offsets(rows, [F.col("page_id").asc_nulls_first(), F.col("digest").asc()], "n_bytes", "byte_offset")
 
 
-def tree(records: DataFrame, leaf: int = LEAF, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels (node, digest) from the leaves (node = range of offsets) to the root, for rows (byte_offset, digest)."""
-    joined = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "digest"))), lambda x: F.concat_ws(":", x[key].cast("string"), x["digest"])), ","), 256)
-    level = materialize(records.groupBy(F.floor(F.col("byte_offset") / leaf).cast("long").alias("node")).agg(joined("byte_offset").alias("digest")))
-    levels = [level]
-    most = level.agg(F.max("node")).first()[0] or 0
-    while most > 0:
-        up = level.groupBy(F.floor(F.col("node") / fanout).cast("long").alias("up")).agg(joined("node").alias("digest")).withColumnRenamed("up", "node")
-        level = materialize(up)
+def tree(records: DataFrame, leaf: int = LEAF, fanout: int = FANOUT) -> tuple[DataFrame, list[DataFrame]]:
+    """A manifest -> its rows with their leaf (``node``), and levels (node, up, digest) from the leaves to the root; up is the parent."""
+    mark = F.xxhash64("page_id", "digest")
+    marked = last_marks(records.withColumn("mark", F.when(F.pmod(mark, F.lit(leaf)) == 0, mark)), [F.col("byte_offset")], "mark", "node").drop("mark")
+    marked = materialize(marked.withColumn("node", F.coalesce("node", F.lit(FIRST))))
+    each = marked.groupBy("node", "digest").agg(F.min("byte_offset").alias("at"), F.count(F.lit(1)).alias("n"))
+    entry = F.struct("at", F.concat_ws(":", F.col("n").cast("string"), "digest").alias("of"))
+    level = each.groupBy("node").agg(F.min("at").alias("at"), F.sha2(F.array_join(F.array_sort(F.collect_list(entry))["of"], ","), 256).alias("digest"))
+    levels, step = [], leaf
+    while True:
+        step *= fanout
+        up = F.when((F.col("node") != FIRST) & (F.pmod("node", F.lit(step)) == 0), F.col("node"))
+        level = materialize(last_marks(level.withColumn("mark", up), [F.col("at")], "mark", "up").drop("mark").withColumn("up", F.coalesce("up", F.lit(FIRST))))
         levels.append(level)
-        most //= fanout
-    return levels
+        if n_rows(level) <= 1:
+            return marked, levels
+        level = level.groupBy(F.col("up").alias("node")).agg(F.min("at").alias("at"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("at", "digest")))["digest"], ","), 256).alias("digest"))
 
 
 def audit(a: DataFrame, b: DataFrame, leaf: int = LEAF, fanout: int = FANOUT) -> DataFrame:
-    """Manifests (page_id, byte_offset, n_bytes, digest) of two replicas -> page_id, byte_offset, n_bytes, status."""
-    ours, theirs = tree(a, leaf, fanout), tree(b, leaf, fanout)
-    while len(ours) < len(theirs):  # a lower tree: its root stands alone on the levels above
-        ours.append(ours[-1])
-    while len(theirs) < len(ours):
-        theirs.append(theirs[-1])
+    """Manifests (page_id, byte_offset, n_bytes, digest) of two replicas -> page_id, byte_offset, n_bytes, status.
+
+    Offset and size are those of the first replica, of ``extra`` records those of the second.
+    """
+    (a, ours), (b, theirs) = tree(a, leaf, fanout), tree(b, leaf, fanout)
+    for low, high in ((ours, theirs), (theirs, ours)):  # a lower tree: its root stands alone on the levels above
+        while len(low) < len(high):
+            low[-1] = low[-1].withColumn("up", F.col("node"))
+            low.append(low[-1])
     suspects = None
     for x, y in zip(reversed(ours), reversed(theirs), strict=True):
         if suspects is not None:
-            inside = lambda level: level.withColumn("up", F.floor(F.col("node") / fanout).cast("long")).join(suspects.withColumnRenamed("node", "up"), "up", "left_semi").drop("up")  # noqa: B023, E731
-            x, y = inside(x), inside(y)
-        both = x.withColumnRenamed("digest", "ours").join(y.withColumnRenamed("digest", "theirs"), "node", "full")
+            x, y = (level.join(suspects.select(F.col("node").alias("up")), "up", "left_semi") for level in (x, y))
+        both = x.select("node", F.col("digest").alias("ours")).join(y.select("node", F.col("digest").alias("theirs")), "node", "full")
         suspects = materialize(both.where(~F.col("ours").eqNullSafe(F.col("theirs"))).select("node"))
-    at = F.floor(F.col("byte_offset") / leaf).cast("long")
-    near = lambda r: r.withColumn("node", at).join(suspects, "node", "left_semi").select("byte_offset", "page_id", "n_bytes", "digest")
-    x, y = near(a), near(b).select("byte_offset", F.col("page_id").alias("page_id2"), F.col("n_bytes").alias("n_bytes2"), F.col("digest").alias("digest2"))
-    status = F.when(F.col("digest2").isNull(), "missing").when(F.col("digest").isNull(), "extra").when(F.col("digest") != F.col("digest2"), "corrupt")
-    found = x.join(y, "byte_offset", "full").withColumn("status", status).where("status is not null")
-    return found.select(F.coalesce("page_id", "page_id2").alias("page_id"), "byte_offset", F.coalesce("n_bytes", "n_bytes2").alias("n_bytes"), "status")
+    near = lambda r: r.join(suspects, "node", "left_semi").withColumn("m", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("byte_offset")))
+    x, y = materialize(near(a)), materialize(near(b))
+    alone = lambda r, o, end: r.join(o.select(F.col("page_id").alias("id"), F.col("digest").alias("d"), F.col("m").alias("k")), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")) & (F.col("m") == F.col("k")), "left_anti").select(
+        F.col("page_id").alias(f"id{end}"), F.col("byte_offset").alias(f"at{end}"), F.col("n_bytes").alias(f"n{end}"), F.row_number().over(Window.partitionBy("page_id").orderBy("byte_offset")).alias(f"r{end}"))
+    p, q = alone(x, y, 1), alone(y, x, 2)
+    found = p.join(q, F.col("id1").eqNullSafe(F.col("id2")) & (F.col("r1") == F.col("r2")), "full")
+    status = F.when(F.col("at2").isNull(), "missing").when(F.col("at1").isNull(), "extra").otherwise("corrupt")
+    return found.select(F.coalesce("id1", "id2").alias("page_id"), F.coalesce("at1", "at2").alias("byte_offset"), F.coalesce("n1", "n2").alias("n_bytes"), status.alias("status"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    """``pages`` against a replica in which every 97th page's payload is altered and every 211th is lost.
-
-    Only the altered pages of the replica are hashed again; its other digests, and all offsets and sizes, are copies of ours.
-    """
+    """``pages`` against a replica in which every 97th page's payload is longer by a sign and every 211th is lost; each is laid out by itself."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    ours = lay_out(pages)
-    altered = pages.where(F.coalesce(F.pmod("page_id", F.lit(97)) == 5, F.lit(False)))
-    bad = altered.select(F.col("page_id").alias("bad_id"), F.sha2(warc_record(F.col("url"), F.concat(F.coalesce("html", F.lit("")), F.lit("!"))), 256).alias("bad")).dropDuplicates(["bad_id"])
-    lost = F.coalesce(F.pmod("page_id", F.lit(211)) == 3, F.lit(False))
-    theirs = ours.where(~lost).join(bad, F.col("page_id") == F.col("bad_id"), "left").select("page_id", "byte_offset", "n_bytes", F.coalesce("bad", "digest").alias("digest"))
-    return audit(ours, materialize(theirs))
+    hit = lambda m, k: F.coalesce(F.pmod("page_id", F.lit(m)) == k, F.lit(False))
+    replica = pages.where(~hit(211, 3)).withColumn("html", F.when(hit(97, 5), F.concat(F.coalesce("html", F.lit("")), F.lit("!"))).otherwise(F.col("html")))
+    return audit(lay_out(pages), lay_out(replica))
 
 
 OP2_SQL = r"""
