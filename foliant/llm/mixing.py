@@ -158,7 +158,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Rows that are equal in doc_id, source and text come once, with the copies of all of them. Rows taken 0 times stay out.
     """
-    copies = materialize(mix(docs).groupBy("h", "h2").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0").withColumnsRenamed({"h": "__h", "h2": "__h2", "n": "__n", "copies": "__copies"}))
+    mixed = mix(docs)
+    copies = materialize(mixed.groupBy("h", "h2").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0").withColumnsRenamed({"h": "__h", "h2": "__h2", "n": "__n", "copies": "__copies"}))
     h, h2 = row_keys(docs)
     marked = docs.drop("copies").withColumns({"__h": h, "__h2": h2}).join(copies, ["__h", "__h2"])
     if copies.where("__n > 1").limit(1).count():

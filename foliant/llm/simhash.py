@@ -40,7 +40,7 @@ from foliant.llm.graph import components
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 CAP = 48
 NEAR_CAP = 3  # for similar texts; by chance hardly any bucket has more
-ROUND = 8  # segments that are searched at once
+ROUND = 4  # segments that are searched at once
 RECALL, CHANCE = 0.99, 2.0  # of pairs at the least similarity; unrelated fingerprints that a bucket holds on average
 DENSE = 8  # fingerprints of a bucket beyond which it is searched by complete distances
 WORDS, SKETCH = 4, 57  # a fingerprint's first words that rows carry; bits of them that differ in a candidate at most (at 15 % each: 39, and 6 more or less)
@@ -80,7 +80,7 @@ def segment_plan(n: int, least: float) -> tuple[int, int]:
     Longer tables take longer segments, so that chance fills a bucket with ``CHANCE`` others, and so many more
     of them that a pair of similarity ``least`` meets in one (equal, or one bit apart) with probability ``RECALL``.
     """
-    bits = max(12, math.ceil(math.log2(max(n, 1) / CHANCE)))
+    bits = max(18, math.ceil(math.log2(max(n, 1) / CHANCE)))
     p = math.acos(2 * least / (1 + least)) / math.pi  # equally large sets: the share of bits that differ
     meet = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
     return bits, math.ceil(math.log(1 - RECALL) / math.log1p(-meet))
@@ -98,24 +98,24 @@ def fingerprints(docs: DataFrame, shingle: int = 3, n_words: int = 1, plan: tupl
     """doc_id, fp (array of 64-bit words), n (shingles), h (hash of the text, as xxhash64() has it), id: one row per row of ``docs``.
 
     With ``plan`` (``segment_plan``) a shingle counts once however often it stands in the text, ``id`` is the set's (else the
-    fingerprint's), and ``segs`` and ``shingles`` (sorted hashes) come with it.
+    fingerprint's), and ``segs`` and ``shingles`` (32 bits of each hash) come with it.
     """
 
     def one(h: np.ndarray) -> tuple:
         h = np.unique(h) if plan else h
         fp = fingerprint(h, n_words).view(np.int64)
         number = int(fp[0]) if n_words == 1 and not plan else int(np.uint64(xxhash.xxh64_intdigest((h if plan else fp).tobytes(), 42)).view(np.int64))
-        return (fp.tolist(), h.size, number) + ((segments_of(fp.view(np.uint64), *plan), h.view(np.int64)) if plan else ())
+        return (fp.tolist(), h.size, number) + ((segments_of(fp.view(np.uint64), *plan), (h >> np.uint64(32)).astype(np.uint32).view(np.int32)) if plan else ())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = utf8(batch.column(1))
         rows, sizes, numbers, *more = zip(*(one(shingle_hashes(t, shingle)) for t in texts), strict=True) if texts else ([],) * (5 if plan else 3)
         hashes = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
-        columns = [batch.column(0), pa.array(rows, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(hashes), pa.array(numbers, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in more)]
+        columns = [batch.column(0), pa.array(rows, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(hashes), pa.array(numbers, pa.int64()), *(pa.array(x, pa.list_(kind)) for x, kind in zip(more, (pa.int64(), pa.int32()), strict=False))]
         return pa.RecordBatch.from_arrays(columns, names)
 
     names = ["doc_id", "fp", "n", "h", "id"] + ["segs", "shingles"] * bool(plan)
-    schema = "doc_id long, fp array<long>, n long, h long, id long" + ", segs array<long>, shingles array<long>" * bool(plan)
+    schema = "doc_id long, fp array<long>, n long, h long, id long" + ", segs array<long>, shingles array<int>" * bool(plan)
     return map_arrow(docs.select("doc_id", "text"), run, schema, most_bytes=4 << 20)
 
 
@@ -192,11 +192,11 @@ def similar_components(fps: DataFrame, plan: tuple[int, int], n_words: int, most
     def contract(pairs: DataFrame) -> None:
         nonlocal fps
         ask = materialize(pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-        links = sure(ask)
+        links = materialize(sure(ask))
         of = fps.select("id", "root")
         ends = links.join(of.select(F.col("id").alias("src"), F.col("root").alias("a")), "src").join(of.select(F.col("id").alias("dst"), F.col("root").alias("b")), "dst")
         new = components(ends.select(F.col("a").alias("src"), F.col("b").alias("dst")).where("src <> dst"))
-        more = links.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("more"))
+        more = _ends(links).groupBy("id").agg(F.count(F.lit(1)).alias("more"))
         up = fps.join(new.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").withColumn("root", F.coalesce("up", "root"))
         last, fps = fps, materialize(up.join(more, "id", "left").select("id", "fp", "s", "n", "segs", "root", (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree")))
         discard(ask, last)
@@ -226,8 +226,9 @@ def similar_components(fps: DataFrame, plan: tuple[int, int], n_words: int, most
     met = _union(dense)
     if met.limit(1).count():
         contract(_apart(met, fps, bits, n_words, most, least))
-    discard(*found, *scratch)
-    return fps.select("id", "root")
+    out = materialize(fps.select("id", "root"))
+    discard(fps, *found, *scratch)
+    return out
 
 
 def _apart(members: DataFrame, fps: DataFrame, bits: int, n_words: int, most: int, least: float) -> DataFrame:
@@ -236,10 +237,10 @@ def _apart(members: DataFrame, fps: DataFrame, bits: int, n_words: int, most: in
     Of such a pair one end at least is outside the key's most common component, so the rest of the key is only compared
     with those. A pair counts under the first key alone at which its segments meet.
     """
-    rooted = materialize(members.join(fps.select("id", "root"), "id"))
+    rooted = materialize(members.join(fps.drop("degree"), "id"))
     sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main")
-    rows = materialize(rooted.join(main, "key").join(fps.select("id", "s", "n", "fp", "segs"), "id"))
+    rows = materialize(rooted.join(main, "key"))
     j = F.floor(F.col("key") / (1 << bits)).cast("int")
     before = F.zip_with(F.slice("segs", F.lit(1), j), F.slice("segs2", F.lit(1), j), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     close = _near(least) & (distance(F.col("fp"), F.col("fp2"), n_words) <= most) & F.forall(before, lambda d: d > 1)
@@ -251,6 +252,10 @@ def _apart(members: DataFrame, fps: DataFrame, bits: int, n_words: int, most: in
     return pairs
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id")))
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -301,6 +306,7 @@ def _named(each: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
     of = materialize(distinct.select("id", "least").join(roots, "id").select("id", "least", "root"))
     ids = materialize(of.groupBy("root").agg(F.min("least").alias("component_id")))  # a table of its own: a hot root's rows can be split then
     known = materialize(of.join(ids, "root").select("id", "component_id"))
+    discard(of, ids)
     return each.join(known, "id").select("doc_id", "fp", "h", "component_id")
 
 
@@ -311,7 +317,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, n_words: int = 16, most
     distinct = materialize(each.groupBy("id").agg(F.first("fp").alias("fp"), F.first("segs").alias("segs"), F.min("doc_id").alias("least"), F.first("n").alias("n")))
 
     def sure(pairs: DataFrame) -> DataFrame:
-        asked = materialize(pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+        asked = materialize(_ends(pairs).distinct())
         texts = each.select("id", "fp", "n", "shingles").join(asked, "id", "left_semi").dropDuplicates(["id"])
         texts = materialize(texts)
         out = materialize(_similar(pairs, texts, n_words, most, least))
@@ -319,7 +325,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, n_words: int = 16, most
         return out
 
     roots = similar_components(distinct, plan, n_words, most, least, sure)
-    return _named(each, distinct, roots)
+    out = materialize(_named(each, distinct, roots))
+    discard(each, distinct)
+    return out
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
@@ -334,7 +342,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     11 more or less; up to 187 make a candidate, and the shingles decide. Fingerprints and sizes are the sets', so that
     repetition within a text changes neither. Texts without words are all alike, null ones too: one of them stays.
     """
-    got = materialize(similar_documents(docs).select("doc_id", "h", "component_id"))
+    got = similar_documents(docs).select("doc_id", "h", "component_id")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     first = materialize(got.groupBy("component_id").agg(F.min(place).alias("p")).select(F.col("p.doc_id").alias("keep_id"), F.col("p.h").alias("keep_h")))
     same = lambda df: df["doc_id"].eqNullSafe(first["keep_id"]) & (df["__text_hash"] == first["keep_h"])
