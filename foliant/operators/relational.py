@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +68,30 @@ def bucketed_order(df: DataFrame, score: str, then: Sequence[Column], step: floa
     return [F.floor(F.col(score) / step).desc(), *then]
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with its place (from 1) in ``order``, whose keys must tell all rows apart.
+
+    Range partitions are sorted and counted on their own, so no task sees all rows; a number a partition comes to the
+    driver. The sorted rows are kept by Spark (and made again from the same ranges if an executor is lost).
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    part = F.shiftright("__m", 33)
+    sizes = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    base, entries = 1, []
+    for k in sorted(sizes):
+        entries += [F.lit(k).cast("long"), F.lit(base).cast("long")]
+        base += sizes[k]
+    start = F.element_at(F.create_map(*entries), part) if entries else F.lit(1).cast("long")
+    return placed.withColumn(name, start + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m")
+
+
 def cluster_siblings(df: DataFrame, group: Sequence[str], position: str, within: Sequence[Column]) -> DataFrame:
     """A group takes the place of its best member; members follow publication order. Adds ``final_position``."""
-    best = F.min(position).over(Window.partitionBy(*group))
-    placed = df.withColumn("__group", best)
-    return placed.withColumn("final_position", F.row_number().over(Window.orderBy("__group", *within))).drop("__group")
+    best = df.groupBy(*[F.col(g).alias(f"__{g}") for g in group]).agg(F.min(position).alias("__group"))
+    same = conjunction([F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group])
+    placed = df.join(best, same).drop(*[f"__{g}" for g in group])
+    return numbered(placed, [F.col("__group"), *within], "final_position").drop("__group")
 
 
 def counts_kept(parents: DataFrame, children: DataFrame, key: str, child_key: str, name: str) -> DataFrame:
@@ -122,17 +142,21 @@ def with_fallback(df: DataFrame, lookup: DataFrame, keys: Sequence[Column], look
 
 def word_windows(df: DataFrame, text: str, size: int = 350, overlap: int = 40, least: int = 30) -> DataFrame:
     """Windows of ``size`` words every ``size - overlap`` words, until one has fewer than ``least``. Adds chunk_no, n_chunk_words, chunk."""
-    words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
     step = size - overlap
-    starts = F.when(F.size("__w") > 0, F.sequence(F.lit(0), F.size("__w") - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    slices = F.transform(starts, lambda i: F.slice("__w", i + 1, F.lit(size)))
-    out = df.withColumn("__w", words).withColumn("__s", F.filter(slices, lambda s: F.size(s) >= least))
-    return out.select(*df.columns, F.posexplode("__s").alias("chunk_no", "__c")).withColumn("n_chunk_words", F.size("__c")).withColumn("chunk", F.array_join("__c", " ")).drop("__c")
+
+    def windows(words: Column) -> Column:
+        starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(starts, lambda i: F.slice(words, i + 1, F.lit(size))), lambda s: F.size(s) >= least)
+
+    words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
+    cut = F.element_at(F.transform(F.array(words), windows), 1)  # a text is split once
+    # the outer form: else a filter on the array's size is put before it, which would split again
+    out = df.select(*df.columns, F.posexplode_outer(cut).alias("chunk_no", "__c")).where("__c is not null")
+    return out.withColumn("n_chunk_words", F.size("__c")).withColumn("chunk", F.array_join("__c", " ")).drop("__c")
 
 
-def cooccurrence(df: DataFrame, basket: str, item: str, most: int = 100) -> DataFrame:
-    """Pairs of items that stand in the same baskets. Baskets of more than ``most`` distinct items say nothing about pairs and are left out."""
+def cooccurrence(df: DataFrame, basket: str, item: str) -> DataFrame:
+    """Pairs of items that stand in the same baskets, with the number of these."""
     items = df.select(basket, item).distinct()
-    small = items.join(items.groupBy(basket).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") <= most).select(basket), basket, "left_semi")
-    a, b = small.withColumnRenamed(item, "item_a"), small.withColumnRenamed(item, "item_b")
+    a, b = items.withColumnRenamed(item, "item_a"), items.withColumnRenamed(item, "item_b")
     return a.join(b, basket).where("item_a < item_b").groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("together"))

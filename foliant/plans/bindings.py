@@ -144,13 +144,13 @@ def hierarchy_order(read):
     x = F.when(k == 0, F.concat(F.lit("LZ"), (F.col("p_size") % 5).cast("string"))).when(k == 1, F.concat("p_type", F.lit(" upper limit"))).when(k == 2, F.concat("p_type", F.lit(" Lower Limit"))).when(k == 4, F.col("p_name"))
     rows = read("part").select("p_partkey", "p_brand", x.alias("x"))
     order = [*relational.hierarchy_keys("x"), relational.row_number_of(F.col("p_brand")), F.col("p_partkey")]
-    return rows.select("p_partkey", "x", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    return relational.numbered(rows, order, "place").select("p_partkey", "x", "place")
 
 
-@query("""WITH r AS (SELECT o_orderkey, o_orderpriority, o_orderdate, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM orders WHERE o_orderkey % 10 = 0)
+@query("""WITH r AS (SELECT o_orderkey, o_orderpriority, o_orderdate, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM orders)
 SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY g, o_orderdate, o_orderkey) AS final_position FROM (SELECT *, min(pos) OVER (PARTITION BY o_orderpriority) AS g FROM r)""")
 def sibling_cluster(read):
-    r = read("orders").where("o_orderkey % 10 = 0").withColumn("pos", F.row_number().over(Window.orderBy(F.col("o_totalprice").desc(), "o_orderkey")))
+    r = relational.numbered(read("orders").select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], "pos")
     got = relational.cluster_siblings(r, ["o_orderpriority"], "pos", [F.col("o_orderdate"), F.col("o_orderkey")])
     return got.select("o_orderkey", "o_orderpriority", F.col("final_position").cast("long").alias("final_position"))
 
@@ -577,10 +577,10 @@ def seen_counts(read):
     return maintenance.seen_per_owner(read("documents"), "source", "doc_id").select("source", "seen", F.array_join("sample", ",").alias("sample"))
 
 
-@query("""SELECT p_partkey, '{"p_partkey":' || p_partkey || ',"p_size":' || p_size || '}' AS snapshot FROM part WHERE p_partkey % 10 = 0""")
+@query("""SELECT p_partkey, '{"p_partkey":' || p_partkey || ',"p_size":' || p_size || '}' AS snapshot FROM part""")
 def bulk_add_snapshot(read):
     p = read("part").select("p_partkey", "p_size")
-    return maintenance.with_snapshot(p.where("p_partkey % 10 = 0").select("p_partkey"), p, "p_partkey").select("p_partkey", "snapshot")
+    return maintenance.with_snapshot(p.select("p_partkey"), p, "p_partkey").select("p_partkey", "snapshot")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') THEN TIMESTAMP '2024-06-01' ELSE TIMESTAMP '2024-01-01' END AS modified_at FROM customer""")
