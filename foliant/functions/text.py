@@ -177,6 +177,17 @@ def quoted_cell(x: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.coalesce(x.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
 
 
+def html_escaped(x: Column) -> Column:
+    out = F.coalesce(x.cast("string"), F.lit(""))
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(raw), F.lit(entity))
+    return out
+
+
+def sql_escaped(x: Column) -> Column:
+    return F.replace(F.coalesce(x.cast("string"), F.lit("")), F.lit("'"), F.lit("''"))
+
+
 def slug(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

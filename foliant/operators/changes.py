@@ -28,6 +28,14 @@ def upsert(current: DataFrame, delta: DataFrame, key: str, policy: dict[str, str
     return both.select(*out)
 
 
+def patch(rows: DataFrame, where: Column, fields: dict[str, object], allowed: Sequence[str]) -> DataFrame:
+    """Sets the allowed ones among ``fields`` where the condition holds; other keys are ignored. None allowed: ValueError."""
+    kept = {k: v for k, v in fields.items() if k in allowed}
+    if not kept:
+        raise ValueError("No valid fields to update")
+    return rows.withColumns({k: F.when(where, F.lit(v).cast(rows.schema[k].dataType)).otherwise(F.col(k)) for k, v in kept.items()})
+
+
 def delete_tail(rows: DataFrame, limits: DataFrame, key: str, limit_key: str, ordinal: str, count: str) -> DataFrame:
     """Keeps ordinals below each owner's new count; owners without one keep all."""
     side = limits.select(F.col(limit_key).alias("__k"), F.col(count).alias("__n"))

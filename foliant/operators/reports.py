@@ -71,6 +71,27 @@ def cache_key(prefix: str, fields: dict[str, Column], version: Column | None = N
     return F.concat_ws(":", *parts)
 
 
+def embedding_key(model: Column, text: Column) -> Column:
+    return F.concat_ws(":", F.lit("cache:emb"), model, F.sha2(text, 256))
+
+
+def search_key(schema: Column, version: Column, fields: dict[str, Column]) -> Column:
+    return F.concat_ws(":", F.lit("cache:search"), schema, version, F.sha2(canonical_json(fields), 256))
+
+
+def summary_key(schema: Column, version: Column, model: Column, query: Column, codes: Column) -> Column:
+    """For a list of result codes; null codes count as empty ones."""
+    listed = F.array_join(F.coalesce(codes, F.array().cast("array<string>")), ",", "")
+    return F.concat_ws(":", F.lit("cache:ai"), schema, version, F.sha2(F.concat_ws("\n", model, query, listed), 256))
+
+
+def governing_task(rows: DataFrame, space: str, task: str, target: str) -> DataFrame:
+    """Per shared space the most frequent task; of equally frequent ones the one with the highest target, then the first by name."""
+    each = rows.groupBy(space, task).agg(F.count(F.lit(1)).alias("n"), F.max(target).alias("target"))
+    w = Window.partitionBy(space).orderBy(F.col("n").desc(), F.col("target").desc_nulls_last(), F.col(task))
+    return each.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
 def csv_lines(rows: DataFrame, columns: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One text of CRLF-joined guarded rows, newest first, for an export that a limit bounds."""
     line = F.concat_ws(",", *[csv_cell(F.col(c)) for c in columns])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import ids, quantities, text
 from foliant.functions.vocabulary import ARTICLE, COMPARISON_PATTERNS, QUESTION_PATTERNS, REFERENCE_PATTERNS, SYNONYMS, TRAILING_PATTERNS
-from foliant.operators import changes, chunking, layout, maintenance, references, relational, reports, tables, vector
+from foliant.operators import changes, chunking, extraction, layout, maintenance, references, relational, reports, tables, vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -652,3 +652,75 @@ AND length(regexp_replace(d.text, '[^0-9]', '', 'g')) / length(d.text) <= 0.22 A
 def displayable_prose(read):
     d = read("documents").join(read("labels").select("doc_id", "toxic"), "doc_id", "left")
     return d.where((F.coalesce("toxic", F.lit(0)) != 1) & text.displayable(F.col("text"), F.lit("text"))).select("doc_id")
+
+
+#: Criteria pages made of parts: four standards, pages of twenty rows below a heading; the rows say what the part's columns say.
+PART_ROWS = """WITH a AS (SELECT *, 'RP-' || (p_partkey % 4 + 1) || '-22' AS standard, row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) - 1 AS n FROM part),
+r AS (SELECT standard, CAST(n // 20 + 1 AS INTEGER) AS page_number, n, p_size, 'Space ' || p_partkey || ' room' AS room FROM a),
+k AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY standard, page_number) AS page_rows FROM r) WHERE page_rows >= 9) """
+
+
+def _criteria_lines(read):
+    a = read("part").select(F.concat(F.lit("RP-"), (F.col("p_partkey") % 4 + 1).cast("string"), F.lit("-22")).alias("doc_id"), "p_partkey", "p_size")
+    a = a.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("p_partkey")) - 1)
+    said = F.format_string("Space %d room T %s %d lx @ TS %d fc @ TS Avg", "p_partkey", F.when(F.col("p_size") > 25, "P").otherwise("M"), F.col("p_size") * 10, "p_size")
+    rows = a.select("doc_id", (F.floor(F.col("n") / 20) + 1).cast("int").alias("page"), (F.col("n") % 20 + 1).cast("int").alias("line_no"), said.alias("text"), F.lit(78.0).alias("x"))
+    head = rows.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(0).alias("line_no"), F.format_string("Hall %d", "page").alias("text"), F.lit(70.0).alias("x"))
+    return rows.unionByName(head).select("doc_id", "page", "line_no", "text", "x", (F.col("line_no") * 10.0 + 20).alias("y"), F.lit(7.5).alias("font_size"), F.lit(False).alias("bold"), F.lit(792.0).alias("page_width"), F.lit(612.0).alias("page_height"))
+
+
+@query(PART_ROWS + """SELECT standard, page_number, 'Hall ' || page_number AS sub_category, room AS app, 'Task' AS area_or_task, CASE WHEN p_size > 25 THEN 'P' ELSE 'M' END AS hor_cat, CAST(p_size * 10 AS DOUBLE) AS hor_lux, CAST(p_size AS DOUBLE) AS hor_fc,
+'Avg' AS hor_basis, CASE WHEN p_size > 25 THEN 1 ELSE 0 END AS tm24_eligible FROM k""")
+def extract_rows(read):
+    return extraction.extract_rows(_criteria_lines(read)).select("standard", "page_number", "sub_category", "app", "area_or_task", "hor_cat", "hor_lux", "hor_fc", "hor_basis", "tm24_eligible")
+
+
+@query(PART_ROWS + """, p AS (SELECT standard, page_number, count(*) AS hits FROM r GROUP BY ALL)
+SELECT standard AS doc_id, CAST(sum(hits) AS BIGINT) AS row_hits, count(*) FILTER (hits >= 3) AS criteria_pages, CASE WHEN sum(hits) >= 5 AND count(*) FILTER (hits >= 3) >= 1 THEN 'NEW_TABLE' ELSE 'STANDARD' END AS structure FROM p GROUP BY standard""")
+def classify_structure(read):
+    return extraction.classify(_criteria_lines(read)).select("doc_id", "row_hits", "criteria_pages", "structure")
+
+
+@query(PART_ROWS + """SELECT standard, count(*) AS total, count(*) AS hor_lux, CAST(0 AS BIGINT) AS ver_lux, count(*) AS hor_cat, count(*) AS app, count(*) AS page, CAST(0 AS BIGINT) AS footnotes, count(*) FILTER (p_size > 25) AS tm24, count(*) AS any_lux, CAST(0 AS BIGINT) AS gaps, true AS passed FROM k GROUP BY standard""")
+def extraction_report(read):
+    return extraction.extraction_report(extraction.extract_rows(_criteria_lines(read)))
+
+
+@query(PART_ROWS + """SELECT standard, page_number, room || '. ' || room || '. Hall ' || page_number || ' ' || room || '. task. indoor. standard ' || standard AS description FROM k""")
+def embed_description(read):
+    return extraction.extract_rows(_criteria_lines(read)).select("standard", "page_number", extraction.embed_text().alias("description"))
+
+
+@query("""SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1""")
+def first_per_code(read):
+    return relational.newest_per(read("lineitem").select("l_partkey", "l_orderkey", "l_linenumber"), ["l_partkey"], [F.col("l_orderkey"), F.col("l_linenumber")])
+
+
+@query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'VIP' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def allowed_patch(read):
+    c = read("customer").select("c_custkey", "c_name", "c_mktsegment")
+    return changes.patch(c, F.col("c_custkey") % 3 == 0, {"c_mktsegment": "VIP", "c_name": "not allowed", "admin": True}, ["c_mktsegment"])
+
+
+@query("""WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '<b>' WHEN 1 THEN '"a" & ' WHEN 2 THEN 'it' || chr(39) || 's ' ELSE '' END || event_type AS x FROM events)
+SELECT event_id, replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html, replace(x, chr(39), chr(39) || chr(39)) AS sql FROM t""")
+def escapes(read):
+    marks = F.element_at(F.array(*[F.lit(x) for x in ("<b>", '"a" & ', "it's ", "")]), (F.col("event_id") % 4 + 1).cast("int"))
+    x = F.concat(marks, "event_type")
+    return read("events").select("event_id", text.html_escaped(x).alias("html"), text.sql_escaped(x).alias("sql"))
+
+
+@query("""SELECT p_partkey, 'cache:emb:m1:' || sha256(p_name) AS emb, 'cache:search:s2:v3:' || sha256('{"limit":' || p_size || ',"query":"' || p_name || '"}') AS search,
+'cache:ai:s2:v3:' || sha256('m1' || chr(10) || p_name || chr(10) || p_brand || ',,' || p_type) AS ai FROM part""")
+def cache_keys(read):
+    lit = lambda *xs: [F.lit(x) for x in xs]
+    codes = F.array("p_brand", F.lit(None).cast("string"), "p_type")
+    return read("part").select(
+        "p_partkey", reports.embedding_key(F.lit("m1"), F.col("p_name")).alias("emb"), reports.search_key(*lit("s2", "v3"), {"query": F.col("p_name"), "limit": F.col("p_size")}).alias("search"),
+        reports.summary_key(*lit("s2", "v3", "m1"), F.col("p_name"), codes).alias("ai"),
+    )
+
+
+@query("""SELECT p_brand, p_type, n, target FROM (SELECT p_brand, p_type, count(*) AS n, max(p_size) AS target, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, max(p_size) DESC, p_type) AS k FROM part GROUP BY p_brand, p_type) WHERE k = 1""")
+def shared_space_task(read):
+    return reports.governing_task(read("part"), "p_brand", "p_type", "p_size").select("p_brand", "p_type", "n", "target")
