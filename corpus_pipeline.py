@@ -1,4 +1,7 @@
-"""A training-data pipeline over ``documents``: five stages, each on what the one before kept."""
+"""A training-data pipeline over ``documents``: five stages, each on what the one before kept.
+
+Every stage takes empty tables, null ids, rows that repeat and further columns, which it passes on.
+"""
 
 from __future__ import annotations
 
@@ -10,23 +13,28 @@ from foliant.llm.common import discard, materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language is known well enough, as they are; null texts and texts without a letter go."""
     model = langid.train(docs, ~langid.held_out(F.col("doc_id")))
     return langid.keep_identified(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts alike at 0.8 in five-word shingles; all texts without words are one group."""
     return simhash.one_of_each(docs)
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no benchmark item; null texts stay, and all rows if there is no item."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, secrets in the text replaced; null and empty texts stay as they are."""
     return secrets.without_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the mix takes, as they are, with ``copies``; equal rows come once with the copies of all."""
     return mixing.mixed_documents(docs)
 
 
@@ -38,7 +46,7 @@ STAGES = [
     ("mix_to_weights", mix_sources),
 ]
 
-#: The stages train a model and sample: SQL can't express them. tests/llm holds each against brute force.
+#: The stages train a model and sample: SQL can't express them. tests/llm/test_contracts.py holds each stage's rows against planted cases.
 ORACLE_SQL = None
 
 
