@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,8 @@ RECALL, CHANCE = 0.99, 2.0  # of pairs at the least similarity; unrelated finger
 DENSE = 8  # fingerprints of a bucket beyond which it is searched by complete distances
 WORDS, SKETCH = 4, 57  # a fingerprint's first words that rows carry; bits of them that differ in a candidate at most (at 15 % each: 39, and 6 more or less)
 HUBS = 2  # times that a bucket's members are compared with one of them, the best connected so far
-PART = 1 << 18  # shingles whose bits are summed at once
+PART = 1 << 16  # shingles that are remixed at once
+WIDE = 16  # words whose bits are summed side by side
 
 
 def shingle_hashes(text: bytes, n: int) -> np.ndarray:
@@ -62,16 +64,19 @@ def shingle_hashes(text: bytes, n: int) -> np.ndarray:
 
 def fingerprint(h: np.ndarray, n_words: int = 1) -> np.ndarray:
     """``n_words`` 64-bit words; the first is the plain SimHash, others come from remixed hashes."""
-    out = np.zeros(n_words, np.uint64)
-    for k in range(n_words):
-        if k:
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, h.size, PART):
-            ones += np.unpackbits(h[at : at + PART].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(2 * ones > h.size, bitorder="little").view(np.uint64)[0]
-    return out
+    side = max(1, WIDE // n_words)  # shingles whose bits lie side by side in a row
+    ones = np.zeros(64 * n_words, np.int64)
+    for at in range(0, h.size, PART):
+        words = [h[at : at + PART]]
+        while len(words) < n_words:
+            x = (words[-1] ^ (words[-1] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            words.append(x ^ (x >> np.uint64(29)))
+        rows = np.zeros((-(-words[0].size // side) * side, n_words), np.uint64)
+        rows[: words[0].size] = np.stack(words, axis=1)
+        rows = rows.reshape(-1, side * n_words).view(np.uint8)
+        for k in range(0, len(rows), 255):  # as many as a byte can count
+            ones += np.unpackbits(rows[k : k + 255], axis=1, bitorder="little").sum(axis=0, dtype=np.uint8).reshape(side, -1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > h.size, bitorder="little").view(np.uint64)
 
 
 def segment_plan(n: int, least: float) -> tuple[int, int]:
@@ -86,12 +91,17 @@ def segment_plan(n: int, least: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - RECALL) / math.log1p(-meet))
 
 
+@cache
+def _order(size: int, bits: int, count: int) -> np.ndarray:
+    """The bits of ``count`` segments, a row each: all bits are shuffled (always alike) and cut, as often as it takes."""
+    each = size // bits
+    return np.concatenate([np.random.default_rng(k).permutation(size)[: each * bits] for k in range(-(-count // each))]).reshape(-1, bits)[:count]
+
+
 def segments_of(fp: np.ndarray, bits: int, count: int) -> list[int]:
-    """``count`` segments of ``bits`` bits: the bits are shuffled (always alike) and cut, as often as it takes."""
+    """``count`` segments of ``bits`` bits."""
     flat = np.unpackbits(fp.view(np.uint8), bitorder="little")
-    each = flat.size // bits
-    order = np.concatenate([np.random.default_rng(k).permutation(flat.size)[: each * bits] for k in range(-(-count // each))])
-    return (flat[order].reshape(-1, bits)[:count] @ (1 << np.arange(bits, dtype=np.int64))).tolist()
+    return (flat[_order(flat.size, bits, count)] @ (1 << np.arange(bits, dtype=np.int64))).tolist()
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, n_words: int = 1, plan: tuple[int, int] | None = None) -> DataFrame:
