@@ -33,14 +33,16 @@ def split_multi_query(q: Column) -> Column:
 
 def clean_query(q: Column) -> Column:
     """The topic without question phrasing and trailing noise; the query itself if nothing would be left."""
-    whole = trimmed(q)
-    out = whole
-    for p in reversed(QUESTION_PATTERNS):
-        out = F.when(whole.rlike(p), F.regexp_replace(whole, p, "")).otherwise(out)
-    for p in [*TRAILING_PATTERNS, ARTICLE]:
-        out = F.regexp_replace(out, p, "")
-    out = trimmed(out)
-    return F.when(out == "", whole).otherwise(out)
+
+    def topic(whole: Column) -> Column:
+        out = whole
+        for p in reversed(QUESTION_PATTERNS):
+            out = F.when(whole.rlike(p), F.regexp_replace(whole, p, "")).otherwise(out)
+        for p in [*TRAILING_PATTERNS, ARTICLE]:
+            out = F.regexp_replace(out, p, "")
+        return _let(trimmed(out), lambda o: F.when(o == "", whole).otherwise(o))
+
+    return _let(trimmed(q), topic)
 
 
 def _let(x: Column, f) -> Column:
@@ -50,14 +52,13 @@ def _let(x: Column, f) -> Column:
 
 def expansion_terms(cleaned: Column) -> Column:
     """New words, in dictionary order, for every term that stands in the query between spaces or at its ends."""
-    table = F.array(*[F.struct(F.lit(f" {term} ").alias("term"), F.split(F.lit(words.lower()), " ").alias("words")) for term, words in SYNONYMS])
 
-    def terms(lower: Column) -> Column:
-        padded = F.concat(F.lit(" "), F.regexp_replace(lower, r"\s", " "), F.lit(" "))
-        words = F.flatten(F.transform(F.filter(table, lambda t: F.contains(padded, t["term"])), lambda t: t["words"]))
-        return F.array_except(F.array_distinct(words), F.split(lower, r"\s+"))
+    def found(padded: Column) -> Column:
+        words = F.concat_ws(" ", *[F.when(F.contains(padded, F.lit(f" {term} ")), F.lit(words.lower())) for term, words in SYNONYMS])
+        return F.array_remove(F.split(words, " "), "")
 
-    return _let(F.lower(cleaned), terms)
+    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(cleaned), r"\s", " "), F.lit(" "))
+    return F.array_except(F.array_distinct(_let(padded, found)), F.split(F.lower(cleaned), r"\s+"))
 
 
 def expand_query(q: Column) -> Column:
