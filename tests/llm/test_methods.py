@@ -463,3 +463,17 @@ def test_bloom_masks_name_every_language():
         slots[at, 0] |= np.uint64(5)
     mask = np.bitwise_and.reduce([slots[at, 0] for at in langid.slots_of(h, 1 << 12, 3)])
     assert (mask == 5).all()
+
+
+@pytest.mark.parametrize("n_words", [1, 3, 16])
+def test_fingerprints_of_all_sizes(n_words):
+    r = random.Random(41)
+    for n in (0, 1, 2, 15, 17, 255, 256, 4081, simhash.PART - 1, simhash.PART, simhash.PART + 1):
+        h = [r.getrandbits(64) for _ in range(n)]
+        got, mask = simhash.fingerprint(np.array(h, np.uint64), n_words).tolist(), (1 << 64) - 1
+        for k in range(n_words if n < 5000 else 1):
+            ones = Counter()
+            for x in h:
+                ones.update(b for b in range(64) if x >> b & 1)
+            assert got[k] == sum(1 << b for b in range(64) if 2 * ones[b] > n), (n, k)
+            h = [x ^ (x >> 29) for x in ((x ^ (x >> 31)) * 0x9E3779B97F4A7C15 & mask for x in h)]
