@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import chat, decontam, divergence, langid, mixing, pii, quality, runs, secrets, simhash, suffixes, warc
+from foliant.llm import chat, decontam, divergence, langid, mixing, pii, quality, runs, secrets, simhash, substrings, suffixes, warc
 
 QUERIES = {
     "op1_pigeonhole_myers": decontam.op1,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_suffix_repetition": quality.op8,
     "op9_simhash_multi_index": simhash.op9,
     "op10_language_bitmask": langid.op10,
+    "op11_fm_matching": substrings.op11,
     "op12_bounded_term_search": divergence.op12,
     "op13_lyndon_runs": runs.op13,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_merkle_fixity": warc.OP2_SQL, "op12_bounded_term_search": divergence.OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_merkle_fixity": warc.OP2_SQL, "op11_fm_matching": substrings.OP11_SQL, "op12_bounded_term_search": divergence.OP12_SQL}

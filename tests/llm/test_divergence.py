@@ -63,4 +63,4 @@ def test_no_rows(spark, no_documents):
 
 def test_odd_documents(spark, odd_documents):
     got = divergence.audit(odd_documents).collect()
-    assert {(x["lang"], x["source"]) for x in got if x["part"] == "pair"} == {("en", "a"), ("en", "b")}
+    assert {(x["lang"], x["source"]) for x in got if x["part"] == "pair"} == {("en", "a"), ("en", "b"), ("", ""), ("", "c")}
