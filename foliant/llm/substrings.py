@@ -221,8 +221,7 @@ OP11_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS words FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
 low AS (SELECT words, min(doc_id) AS low FROM win GROUP BY words),
-gone AS (SELECT r, list(DISTINCT i + k) AS gone FROM win JOIN low USING (words), (SELECT unnest(range(13)) AS k) WHERE low < doc_id GROUP BY r)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-  sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' '), '')) AS kept_sha256
-FROM d LEFT JOIN gone USING (r)
+gone AS (SELECT DISTINCT r, i + k AS i FROM win JOIN low USING (words), (SELECT unnest(range(13)) AS k) WHERE low < doc_id),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
 """

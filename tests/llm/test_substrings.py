@@ -47,7 +47,7 @@ def brute(rows, window=13):
 by = lambda rows: sorted(rows, key=str)
 
 
-@pytest.mark.parametrize(("shard", "crowd"), [(300_000, 20_000), (200, 5), (2_000, 0)])
+@pytest.mark.parametrize(("shard", "crowd"), [(300_000, 20_000), (4_000, 3)])
 def test_op11(spark, tmp_path, monkeypatch, shard, crowd):
     monkeypatch.setattr(substrings, "SHARD", shard)
     monkeypatch.setattr(substrings, "CROWD", crowd)
@@ -58,7 +58,7 @@ def test_op11(spark, tmp_path, monkeypatch, shard, crowd):
     assert by(got) == by(want) and sum(x[2] > 0 for x in want) > 50
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
-    assert by(con.sql(substrings.OP11_SQL.replace("FROM documents", "FROM documents WHERE doc_id IS NULL OR doc_id <> 600")).fetchall()) == by(x for x in want if x[0] != 600)
+    assert by(con.sql(substrings.OP11_SQL).fetchall()) == by(want)
 
 
 def test_spans_tell_what_goes(spark):
