@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from foliant.plans import bindings
+from foliant.plans import bindings, structure  # structure registers its queries beside those of bindings
+
+__all__ = ["QUERIES", "ORACLE_SQL", "structure"]
 
 QUERIES = dict(bindings.QUERIES)
 ORACLE_SQL = dict(bindings.ORACLE_SQL)
