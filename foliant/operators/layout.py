@@ -2,14 +2,16 @@
 
 Items are rows (doc_id, page, item_no, text, x, y, width, font_size, font_name, page_width,
 page_height), y from the bottom as page formats have it. Header detection is one aggregate;
+columns are found by a sweep over the edges of a page's items;
 pages are laid out one by one, so a page is what a task holds.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Sequence
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_PAGES, ZONE, Y_BUCKET = 5, 0.08, 5.0
@@ -28,28 +30,36 @@ def repeated_margins(items: DataFrame) -> DataFrame:
     return often.select("doc_id", F.lower("text").alias("text")).distinct()
 
 
-def column_split(x: np.ndarray, right: np.ndarray, page_width: float) -> float | None:
-    """Where a page of two columns divides: the widest empty band near the middle with enough text on both sides."""
-    if x.size < MIN_ITEMS:
-        return None
-    n = int(np.ceil(page_width / X_BUCKET)) + 1
-    change = np.zeros(n + 1, int)
-    np.add.at(change, np.clip((x // X_BUCKET).astype(int), 0, n - 1), 1)
-    np.add.at(change, np.clip(np.ceil(right / X_BUCKET).astype(int), 0, n - 1) + 1, -1)
-    covered = np.cumsum(change)[:n] > 0
-    low, high = int(page_width * 0.25 // X_BUCKET), int(np.ceil(page_width * 0.75 / X_BUCKET))
-    best_start = best = run = 0
-    for i in range(low, min(high, n)):
-        run = 0 if covered[i] else run + 1
-        if run > best:
-            best, best_start = run, i - run + 1
-    if best * X_BUCKET < MIN_GAP or not covered[:best_start].any() or not covered[best_start + best :].any():
-        return None
-    middle = (best_start + best / 2) * X_BUCKET
-    left = int((x < middle).sum())
-    if abs(middle - page_width / 2) > page_width * 0.25 or min(left, x.size - left) < x.size * 0.2:
-        return None
-    return middle
+def sized(items: DataFrame) -> DataFrame:
+    """Items with text, with font sizes and widths that are known or estimated."""
+    size = F.coalesce(F.nullif(F.abs("font_size"), F.lit(0.0)), F.lit(10.0))
+    given = F.when((F.col("width") != 0) & ~F.isnan("width"), F.col("width"))
+    return items.where(F.trim("text") != "").withColumn("font_size", F.when(F.isnan(size), 10.0).otherwise(size)).withColumn("width", F.coalesce(given, F.length("text") * F.col("font_size") * 0.5))
+
+
+def column_splits(items: DataFrame, page: Sequence[str] = ("doc_id", "page")) -> DataFrame:
+    """(page, split): where pages of two columns divide; pages of one column have no row.
+
+    A sweep over the edges of all items: the running number of items over each bucket of X_BUCKET points; the longest stretch
+    (the first of equally long ones) of the page's middle half that none covers divides the page if it is wide
+    enough, stands between text, and each side holds a fifth of the items. A page's edges are at most two a bucket.
+    """
+    n = (F.ceil(F.col("page_width") / X_BUCKET) + 1).cast("int")
+    bucket = lambda c: F.greatest(F.lit(0), F.least(c.cast("int"), n - 1))
+    # stretches that begin or end a page stand for themselves, so that what is empty at its borders is seen
+    edge = lambda at, d: F.struct(at.cast("int").alias("b"), F.lit(d).cast("long").alias("d"))
+    edges = items.select(*page, "page_width", F.explode(F.array(edge(bucket(F.floor(F.col("x") / X_BUCKET)), 1), edge(bucket(F.ceil((F.col("x") + F.col("width")) / X_BUCKET)) + 1, -1), edge(F.lit(0), 0), edge(n, 0))).alias("e"))
+    steps = edges.groupBy(*page, F.col("e.b").alias("b")).agg(F.sum("e.d").alias("d"), F.max("page_width").alias("w"))
+    along = Window.partitionBy(*page).orderBy("b")
+    runs = steps.withColumns({"cover": F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0)), "to": F.lead("b").over(along), "first": F.min(F.when(F.col("d") > 0, F.col("b"))).over(Window.partitionBy(*page))})
+    # cover rises again after an empty stretch, so text follows one that ends before the page does
+    low, high = F.floor(F.col("w") * 0.25 / X_BUCKET), F.ceil(F.col("w") * 0.75 / X_BUCKET)
+    empty = runs.where("cover = 0 and to is not null").withColumns({"a": F.greatest("b", low), "z": F.least("to", high)}).where("a < z")
+    longest = empty.groupBy(*page).agg(F.max(F.struct((F.col("z") - F.col("a")).alias("len"), (-F.col("a")).alias("a"), "to", "first", "w")).alias("r")).select(*page, "r.len", (-F.col("r.a")).alias("a"), "r.to", "r.first", "r.w")
+    middle = (F.col("a") + F.col("len") / 2) * X_BUCKET
+    wide = longest.where((F.col("len") * X_BUCKET >= MIN_GAP) & (F.col("first") < F.col("a")) & (F.col("to") < F.ceil(F.col("w") / X_BUCKET) + 1) & (F.abs(middle - F.col("w") / 2) <= F.col("w") * 0.25)).select(*page, middle.alias("split"))
+    sides = items.join(wide, list(page)).groupBy(*page, "split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") < F.col("split")).alias("left"))
+    return sides.where((F.col("n") >= MIN_ITEMS) & (F.least("left", F.col("n") - F.col("left")) >= F.col("n") * 0.2)).select(*page, "split")
 
 
 def joined(words: list[tuple[str, float, float, float]]) -> str:
@@ -62,18 +72,12 @@ def joined(words: list[tuple[str, float, float, float]]) -> str:
     return " ".join(out.split())
 
 
-def page_lines(page: pd.DataFrame, skip: set[str]) -> pd.DataFrame:
-    """The lines of one page in reading order."""
+def page_lines(page: pd.DataFrame, skip: set[str], split: float | None) -> pd.DataFrame:
+    """The lines of one page (of sized items) in reading order."""
     names = ["doc_id", "page", "text", "x", "y", "width", "font_size", "font_name", "page_width", "page_height"]
     doc, number, texts, xs, ys, widths, sizes, fonts, page_width, page_height = (page[n].to_numpy() for n in names)
-    items = []
-    for text, x, y, width, size, font in zip(texts, xs, ys, widths, sizes, fonts, strict=True):
-        if text and text.strip():
-            size = abs(size) if size == size and size else 10.0
-            width = width if width == width and width else len(text) * size * 0.5
-            heavy = any(w in (font or "").lower() for w in ("bold", "black", "heavy")) or size > 14
-            items.append((page_height[0] - y, x, text, width, size, heavy))
-    split = column_split(np.array([i[1] for i in items], float), np.array([i[1] + i[3] for i in items], float), float(page_width[0])) if items else None
+    heavy = [any(w in (font or "").lower() for w in ("bold", "black", "heavy")) or size > 14 for font, size in zip(fonts, sizes, strict=True)]
+    items = list(zip(page_height[0] - ys, xs, texts, widths, sizes, heavy, strict=True))
     # items within three points are one line: each run of close heights is an island, read from left to right
     rows, line, last = [], [], None
 
@@ -98,13 +102,15 @@ def page_lines(page: pd.DataFrame, skip: set[str]) -> pd.DataFrame:
 def layout_lines(items: DataFrame) -> DataFrame:
     """All items -> LINE_SCHEMA, a row per line."""
     margins = repeated_margins(items).groupBy("doc_id").agg(F.collect_set("text").alias("margins"))
-    marked = items.join(margins, "doc_id", "left")
+    items = sized(items)
+    of_page = items.select("doc_id", "page").distinct().join(margins, "doc_id", "left").join(column_splits(items), ["doc_id", "page"], "left")
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        skip = page["margins"].iloc[0]
-        return page_lines(page, set(skip) if skip is not None else set())
+    def run(page: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        skip, split = known["margins"].iloc[0], known["split"].iloc[0]
+        return page_lines(page, set(skip) if skip is not None else set(), None if pd.isna(split) else split)
 
-    return marked.groupBy("doc_id", "page").applyInPandas(run, LINE_SCHEMA)
+    of_page = of_page.select(F.col("doc_id").alias("of_doc"), F.col("page").alias("of_page"), "margins", "split")
+    return items.groupBy("doc_id", "page").cogroup(of_page.groupBy("of_doc", "of_page")).applyInPandas(run, LINE_SCHEMA)
 
 
 def metadata(raw: DataFrame) -> DataFrame:

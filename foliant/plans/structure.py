@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from foliant.operators import notes, scans
+from foliant.operators import layout, notes, scans
 from foliant.plans.bindings import query
 
 # ---------------------------------------------------------------- lines made of events
@@ -155,3 +154,47 @@ def edge_levels(read):
     x = F.when(p % 211 == 0, p % 97 + 60.0).otherwise((n % 5) * (s % 4 + 7) + 64.0 + (p % 3) * 0.5 + F.when((n % 5 == 4) & (s % 3 == 0), 33).otherwise(0))
     levels = scans.edge_levels(read("lineitem").select(s.alias("doc"), x.alias("x")), "doc", "x")
     return levels.select("doc", F.posexplode("levels").alias("level", "x")).select("doc", F.col("level").cast("long").alias("level"), (F.floor(F.col("x") * 1000 + 0.5) / 1000).alias("x"))
+
+
+# ---------------------------------------------------------------- pages made of words
+
+#: Twelve words a row, forty rows a page, a gutter after the sixth word that is wide enough for two columns in some documents only.
+ITEMS_SQL = """words AS (SELECT doc_id, unnest(w) AS text, unnest(range(len(w))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents)),
+items AS (SELECT doc_id, text, i % 12 AS k, i // 12 % 40 AS r, i // 480 + 1 AS page, 40.0 + (i % 12) * 40 + CASE WHEN i % 12 < 6 THEN 0 ELSE CASE doc_id % 4 WHEN 0 THEN 30 WHEN 1 THEN 12 WHEN 2 THEN 0 ELSE 55 END END AS x, least(36.0, length(text) * 5.0) AS width FROM words),
+pages AS (SELECT doc_id, page, count(*) AS n FROM items GROUP BY doc_id, page),
+band AS (SELECT doc_id, page, unnest(range(30, 92)) AS b FROM pages),
+cover AS (SELECT DISTINCT doc_id, page, unnest(range(floor(x / 5)::BIGINT, least(123, ceil((x + width) / 5)::BIGINT) + 1)) AS b FROM items),
+free AS (SELECT *, b - row_number() OVER (PARTITION BY doc_id, page ORDER BY b) AS g FROM band ANTI JOIN cover USING (doc_id, page, b)),
+gaps AS (SELECT doc_id, page, min(b) AS a, count(*) AS len FROM free GROUP BY doc_id, page, g QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY count(*) DESC, min(b)) = 1),
+ends AS (SELECT doc_id, page, min(b) AS low, max(b) AS high FROM cover GROUP BY doc_id, page),
+wide AS (SELECT doc_id, page, (a + len / 2) * 5 AS split FROM gaps JOIN ends USING (doc_id, page) WHERE len * 5 >= 12 AND low < a AND high >= a + len AND abs((a + len / 2) * 5 - 306) <= 153),
+sides AS (SELECT doc_id, page, split, count(*) FILTER (x < split) AS l, count(*) AS n FROM items JOIN wide USING (doc_id, page) GROUP BY doc_id, page, split),
+splits AS (SELECT doc_id, page, split FROM sides WHERE n >= 30 AND least(l, n - l) >= n * 0.2)"""
+
+
+def _items(read):
+    w = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    words = read("documents").select(F.col("doc_id").cast("string").alias("doc_id"), (F.col("doc_id") % 4).alias("kind"), F.posexplode(w).alias("i", "text"))
+    gutter = F.when(F.col("kind") == 0, 30).when(F.col("kind") == 1, 12).when(F.col("kind") == 2, 0).otherwise(55)
+    i = F.col("i")
+    return words.select(
+        "doc_id", (F.floor(i / 480) + 1).cast("int").alias("page"), "i", "text", ((i % 12) * 40 + 40.0 + F.when(i % 12 < 6, 0).otherwise(gutter)).alias("x"), (760.0 - F.floor(i / 12) % 40 * 18).alias("y"),
+        F.least(F.lit(36.0), F.length("text") * 5.0).alias("width"), F.lit(10.0).alias("font_size"), F.lit("Serif").alias("font_name"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"),
+    ).withColumnRenamed("i", "item_no")
+
+
+@query(f"WITH {ITEMS_SQL} SELECT doc_id::VARCHAR AS doc_id, page, split::DOUBLE AS split FROM splits")
+def column_splits(read):
+    """Where pages of two columns divide."""
+    return layout.column_splits(layout.sized(_items(read)))
+
+
+@query(f"""WITH {ITEMS_SQL},
+margin AS (SELECT doc_id, text, floor((32 + r * 18) / 5.0 + 0.5) AS height, count(*) AS n FROM items WHERE page <= 5 AND (32 + r * 18 < 792 * 0.08 OR 32 + r * 18 > 792 * (1 - 0.08)) GROUP BY ALL),
+sample AS (SELECT doc_id, count(DISTINCT page) AS n_pages FROM items WHERE page <= 5 GROUP BY doc_id),
+skipped AS (SELECT DISTINCT doc_id, lower(text) AS said FROM margin JOIN sample USING (doc_id) WHERE n >= least(3, n_pages - 1)),
+said AS (SELECT doc_id, page, coalesce(x >= split, false) AS side, r, string_agg(text, ' ' ORDER BY k) AS text, min(x) AS x FROM items LEFT JOIN splits USING (doc_id, page) GROUP BY doc_id, page, side, r)
+SELECT doc_id::VARCHAR AS doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY side, r) - 1 AS line_no, md5(text) AS h, x::DOUBLE AS x, (32 + r * 18)::DOUBLE AS y FROM said WHERE NOT EXISTS (SELECT 1 FROM skipped s WHERE s.doc_id = said.doc_id AND s.said = lower(said.text))""")
+def layout_columns(read):
+    """Lines of pages of one and of two columns in reading order."""
+    return layout.layout_lines(_items(read)).select("doc_id", "page", "line_no", F.md5("text").alias("h"), "x", "y")

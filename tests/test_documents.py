@@ -1,6 +1,8 @@
 """Layout, chunks, tables, criteria rows, links: golden and property tests on made pages."""
 
 import json
+import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -133,3 +135,36 @@ def test_layout_query_keeps_whole_documents(spark, tmp_path):
     got = catalogue.QUERIES["layout_lines"](spark, str(tmp_path)).collect()
     assert sorted(w for r in got for w in r["text"].split()) == sorted(w for line in lines for w in line.split())
     assert all(0 <= r["y"] <= 792 for r in got)
+
+
+def test_column_splits_by_buckets(spark):
+    """Against a plain map of covered buckets, on pages of many widths and gutters."""
+    r, rows, want = random.Random(4), [], {}
+    for p in range(200):
+        width, n, gap = r.choice([612.0, 595.3, 400.0, 792.0]), r.choice([10, 29, 30, 40, 60]), r.choice([0, 5, 10, 13, 15, 20, 60])
+        middle, share = width * r.choice([0.2, 0.3, 0.5, 0.5, 0.5, 0.7]), r.choice([0.5, 0.5, 0.15])
+        items = []
+        for _ in range(n):
+            left = r.random() < share
+            x = r.uniform(20, max(21, middle - gap / 2 - 40)) if left else r.uniform(middle + gap / 2, max(middle + gap / 2 + 1, width - 60))
+            items.append((round(x, 2), round(r.uniform(5, max(6, middle - gap / 2 - x)) if left else r.uniform(5, 100), 2)))
+        rows += [("d", p, k, "t", x, 100.0, w, 10.0, "f", width, 792.0) for k, (x, w) in enumerate(items)]
+        buckets = math.ceil(width / 5) + 1
+        covered = {b for x, w in items for b in range(int(x // 5), min(buckets - 1, math.ceil((x + w) / 5)) + 1)}
+        low, high = int(width * 0.25 // 5), math.ceil(width * 0.75 / 5)
+        runs, at = [], low
+        while at < high:
+            end = at
+            while end < high and end not in covered:
+                end += 1
+            if end > at:
+                runs.append((at - end, at))
+            at = max(end, at + 1)
+        if n >= 30 and runs:
+            size, a = min(runs)
+            split = (a - size / 2) * 5
+            sides = sum(x < split for x, _ in items)
+            if -size * 5 >= 12 and min(covered) < a and max(covered) >= a - size and abs(split - width / 2) <= width * 0.25 and min(sides, n - sides) >= n * 0.2:
+                want[p] = split
+    df = spark.createDataFrame(rows, "doc_id string, page int, item_no int, text string, x double, y double, width double, font_size double, font_name string, page_width double, page_height double")
+    assert {x["page"]: x["split"] for x in layout.column_splits(layout.sized(df)).collect()} == want and 40 < len(want) < 160
