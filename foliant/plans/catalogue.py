@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliant.plans import bindings, structure  # structure registers its queries beside those of bindings
+from foliant.plans import bindings, second_looks, structure  # the others register their queries beside those of bindings
 
-__all__ = ["QUERIES", "ORACLE_SQL", "structure"]
+__all__ = ["QUERIES", "ORACLE_SQL", "second_looks", "structure"]
 
 QUERIES = dict(bindings.QUERIES)
 ORACLE_SQL = dict(bindings.ORACLE_SQL)
