@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from foliant.functions import ids, text
 from foliant.functions.vocabulary import COMPARISON_PATTERNS, REFERENCE_PATTERNS
-from foliant.operators import relational, vector
+from foliant.operators import relational, retrieval, vector
 from foliant.operators.references import reference_links
+from foliant.sources.files import DataVersion
 
-POOL, BACKFILL, EXCERPT_RADIUS, STRONG, MIN_RESULTS = 50, 15, 5, 0.60, 3
+POOL, EXCERPT_RADIUS, STRONG, MIN_RESULTS = 50, 5, 0.60, 3
 DEPRECATED_KEPT, FAMILY_KEPT, REFERENCES_KEPT, MAX_LIMIT = 3, 20, 30, 50
 LEVELS = ["app", "app_s1", "app_s2", "app_s3", "app_s4", "app_s5", "app_s6"]
 
@@ -55,10 +56,17 @@ class HashingEmbedder:
 
 
 class Cache:
-    """Least-recently-used results under versioned keys; a new data version makes all older ones unreachable."""
+    """Least-recently-used results under versioned keys; a new data version makes all older ones unreachable.
 
-    def __init__(self, size: int = 256):
-        self.size, self.version, self.kept = size, 1, OrderedDict()
+    With ``stored`` the version is read from storage with each key, so that what one driver ingests ends the results that all others keep.
+    """
+
+    def __init__(self, size: int = 256, stored: DataVersion | None = None):
+        self.size, self.stored, self.kept, self._version = size, stored, OrderedDict(), 1
+
+    @property
+    def version(self) -> int:
+        return self.stored.current() if self.stored else self._version
 
     def key(self, kind: str, params: dict) -> str:
         stable = json.dumps({k: v for k, v in params.items() if v is not None}, sort_keys=True, separators=(",", ":"), default=str)
@@ -76,7 +84,10 @@ class Cache:
             self.kept.popitem(last=False)
 
     def bump(self) -> None:
-        self.version += 1
+        if self.stored:
+            self.stored.bump()
+        else:
+            self._version += 1
 
 
 class BadRequest(ValueError):
@@ -101,7 +112,7 @@ def _matches(q: str, patterns: list[str]) -> bool:
 class Corpus:
     vectors: DataFrame
     applications: DataFrame
-    standards: DataFrame  # id, title, full_designation, status, superseded_by, web_url
+    standards: DataFrame  # id, title, full_designation, status, superseded_by, web_url; for tails also chunk_count, reference_count
 
 
 @dataclass
@@ -111,6 +122,7 @@ class SearchEngine:
     embedder: HashingEmbedder = field(default_factory=HashingEmbedder)
     summariser: Callable[[str], str] | None = None
     cache: Cache = field(default_factory=Cache)
+    tails_only: bool = False  # references from the tails of documents alone (vectors have ``ordinal`` then), not from all vectors
     log: list[dict] = field(default_factory=list)
 
     # ------------------------------------------------------------ query text
@@ -146,7 +158,7 @@ class SearchEngine:
             return self.references(q, scope, limit)
         shared = self.pool(q, scope, POOL).cache()
         try:
-            out = self.applications(shared, filters, limit) if "tables" in types else []
+            out = self.applications(q, shared, filters, limit) if "tables" in types else []
             if "tables" in types and len(out) < MIN_RESULTS:
                 out += [r for r in self.keywords(query, filters, limit) if r["code"] not in {x["code"] for x in out}]
             if "body" in types:
@@ -163,17 +175,26 @@ class SearchEngine:
         joined = hits.join(known, "standard_code")
         return joined.where((F.coalesce("status", F.lit("")) != "deprecated") & (F.coalesce("owner_status", F.lit("")) != "Deprecated"))
 
-    def applications(self, shared: DataFrame, filters: dict, limit: int) -> list[dict]:
+    def applications(self, q: list[float], shared: DataFrame, filters: dict, limit: int) -> list[dict]:
         codes = shared.where("chunk_type = 'application'").select(F.col("id").alias("code"), "score").orderBy(F.col("score").desc(), "code").limit(2 * limit)
         found = codes.join(self.filter_apps(filters), "code").orderBy(F.col("score").desc(), "code").limit(limit)
-        return self.shaped(found, self.excerpts(found, shared))
-
-    def excerpts(self, apps: DataFrame, shared: DataFrame) -> dict:
+        return self.shaped(found, self.excerpts(q, found, shared))
+
+    def chunks_behind(self, q: list[float], apps: DataFrame, shared: DataFrame) -> DataFrame:
+        """The pool's chunks, and a second look for the best standards of ``apps`` that the pool leaves without prose."""
+        hits = shared.where(~F.col("chunk_type").isin("application", "reference"))
+        enough = (F.col("chunk_type") != "table") & ~text.table_like(F.col("excerpt_text"))
+        targets = retrieval.lacking(apps, "standard", [F.desc("score"), F.asc("code")], hits, "standard_code", enough)
+        wanted = ~F.col("chunk_type").isin("application", "reference") & (F.coalesce("excerpt_text", F.lit("")) != "")
+        more = retrieval.backfill(self.corpus.vectors, targets, [(0, q)], "id", "values", "standard_code", wanted, ["chunk_type", "page_number", "status", "excerpt_text"])
+        return retrieval.backfilled(hits, more, "id")
+
+    def excerpts(self, q: list[float], apps: DataFrame, shared: DataFrame) -> dict:
         """The chunk of the same standard nearest by page (prose first, within the radius), else its best one."""
         standards = [r[0] for r in apps.select("standard").distinct().limit(MAX_LIMIT).collect()]
         if not standards:
             return {}
-        q_hits = shared.where(~F.col("chunk_type").isin("application", "reference") & F.col("standard_code").isin(standards))
+        q_hits = self.chunks_behind(q, apps, shared).where(F.col("standard_code").isin(standards))
         prose = text.displayable(F.col("excerpt_text"), F.col("chunk_type"))
         both = apps.select("code", "standard", F.col("page_number").alias("app_page")).join(q_hits, F.col("standard") == F.col("standard_code"))
         near = F.abs(F.col("page_number") - F.col("app_page"))
@@ -195,8 +216,14 @@ class SearchEngine:
     def chunk(self, r) -> dict:
         return {"kind": r["chunk_type"], "code": r["id"], "standard": r["standard_code"], "score": _rounded(r["score"]), "excerpt": {"text": (r["excerpt_text"] or "")[:400], "page": r["page_number"]}, "order": (1, r["id"]), "group": r["id"]}
 
+    def reference_tails(self, q: list[float], scope: Column) -> DataFrame:
+        """References stand near the end: the tails of the active documents that have most of them, within the budget for all."""
+        windows = retrieval.tail_windows(self.corpus.standards.where("status = 'Active'"), "id", "chunk_count", "reference_count").withColumnRenamed("id", "standard_code")
+        keep = ["standard_code", "chunk_type", "page_number", "status", "excerpt_text"]
+        return retrieval.tail_probe(self.corpus.vectors.where(scope), windows, [(0, q)], "id", "values", "standard_code", "ordinal", F.col("chunk_type") == "reference", keep)
+
     def references(self, q: list[float], scope: Column, limit: int) -> list[dict]:
-        hits = self.live(self.pool(q, scope & (F.col("chunk_type") == "reference"), REFERENCES_KEPT))
+        hits = self.live(self.reference_tails(q, scope) if self.tails_only else self.pool(q, scope & (F.col("chunk_type") == "reference"), REFERENCES_KEPT))
         linked = reference_links(hits, "excerpt_text", self.corpus.standards).orderBy(F.col("score").desc(), "id").limit(limit)
         return [self.chunk(r) | {"link": r["link"], "link_type": r["link_type"]} for r in linked.collect()]
 
