@@ -10,9 +10,8 @@ best substring of that window decides.
 The items are the stated query set: they go to the executors in blocks of at most
 ``BLOCK_CHARS`` characters, each block against all documents.
 
-Items under ``min_chars`` characters after reduction match unchanged and on word borders only
-(beside a letter of a script without spaces any place is one), as with edits or within words
-they would match anywhere.
+Items too short for an edit (under 20 characters at a rate of 0.05) match unchanged and on word borders
+only (beside a letter of a script without spaces any place is one), as within words they would match anywhere.
 
 Items with equal texts are searched once.
 
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from foliant.llm.common import map_arrow, materialize
 from foliant.llm.ordering import running_offsets
 
-RATE, MIN_CHARS, BLOCK_CHARS = 0.05, 40, 4_000_000
+RATE, BLOCK_CHARS = 0.05, 4_000_000
 _WORDS = re.compile(r"[^\W_]+")
 #: Scripts without spaces: Thai and Lao, Burmese, Khmer, kana, Han.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -73,11 +72,10 @@ def bordered(text: str, a: int, b: int) -> bool:
 
 
 class Matcher:
-    """Finds every item of a block in a text; those under ``min_chars`` unchanged and on word borders."""
+    """Finds every item of a block in a text; those without a budget unchanged and on word borders."""
 
-    def __init__(self, items: list[tuple[int | None, str]], rate: float, min_chars: int = MIN_CHARS):
-        self.items = [(i, t, int(len(t) * rate) if len(t) >= min_chars else 0) for i, t in items]
-        self.min_chars = min_chars
+    def __init__(self, items: list[tuple[int | None, str]], rate: float):
+        self.items = [(i, t, int(len(t) * rate)) for i, t in items]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, budget) in enumerate(self.items):
             for j in range(budget + 1):
@@ -101,7 +99,7 @@ class Matcher:
         found = []
         for k, at in sorted(diagonals.items()):
             item, pattern, budget = self.items[k]
-            if len(pattern) < self.min_chars:  # its one piece is the item
+            if not budget:  # its one piece is the item
                 if any(bordered(text, a, a + len(pattern)) for a in at):
                     found.append((item, 0))
                 continue
@@ -136,7 +134,7 @@ def blocks(texts: DataFrame, block_chars: int = BLOCK_CHARS):
         yield [(i, t) for i, t in rows if t]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, distance, item_chars: one row for each test item that a document holds."""
     schema = "doc_id long, at long, distance long, item_chars long"
     texts = texts_of(benchmark)
@@ -146,7 +144,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min
 
         def run(batch: pa.RecordBatch, shared=shared, made=[]) -> pa.RecordBatch:
             if not made:
-                made += [Matcher(shared.value, rate, min_chars), {at: len(t) for at, t in shared.value}]
+                made += [Matcher(shared.value, rate), {at: len(t) for at, t in shared.value}]
             rows = [(d, i, n, made[1][i]) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, n in made[0].hits(t)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "at", "distance", "item_chars"])
@@ -156,7 +154,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min
     return found.join(named, "at").select("doc_id", F.col("item_id").cast("long").alias("item_id"), "distance", "item_chars")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of ``docs``, every column as it was, that hold no test item."""
     at = docs.columns.index("text")
     for items in blocks(texts_of(benchmark)):
@@ -164,7 +162,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars:
 
         def run(batch: pa.RecordBatch, shared=shared, made=[]) -> pa.RecordBatch:
             if not made:
-                made.append(Matcher(shared.value, rate, min_chars))
+                made.append(Matcher(shared.value, rate))
             return batch.filter(pa.array([not made[0].hits(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = map_arrow(docs, run, docs.schema)

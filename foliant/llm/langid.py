@@ -40,22 +40,24 @@ class Model:
     false_rate: np.ndarray
 
 
-def _classes() -> np.ndarray:
-    """1 for letters and their marks among all code points of the first plane, else 0."""
-    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(1 << 16)), dtype=bool, count=1 << 16)
+MARK, LETTER = 1, 2
 
 
-_LETTER: np.ndarray | None = None
+def _class(c: int) -> int:
+    return {"M": MARK, "L": LETTER}.get(unicodedata.category(chr(c))[0], 0)
 
 
-def letters(points: np.ndarray) -> np.ndarray:
-    """Which code points are letters; all beyond the first plane's letters are looked up one by one."""
-    global _LETTER
-    if _LETTER is None:
-        _LETTER = _classes()
-    out = _LETTER[np.minimum(points, 0xFFFF)]
+_FIRST_PLANE: np.ndarray | None = None
+
+
+def classes(points: np.ndarray) -> np.ndarray:
+    """LETTER (category L), MARK (M) or 0 for each code point; those beyond the first plane are looked up one by one."""
+    global _FIRST_PLANE
+    if _FIRST_PLANE is None:
+        _FIRST_PLANE = np.fromiter(map(_class, range(1 << 16)), dtype=np.uint8, count=1 << 16)
+    out = _FIRST_PLANE[np.minimum(points, 0xFFFF)]
     if (far := np.flatnonzero(points > 0xFFFF)).size:
-        out[far] = [chr(c).isalpha() for c in points[far].tolist()]
+        out[far] = [_class(c) for c in points[far].tolist()]
     return out
 
 
@@ -66,18 +68,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(text: str) -> tuple[np.ndarray, bool]:
-    """Hashes of the n-grams with at most one character that is no letter; whether there is a letter."""
+    """Hashes of the n-grams with at most one character that is neither letter nor mark; whether there is a letter (a mark is none)."""
     points = np.frombuffer((" " + text + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    alpha = letters(points)
+    kind = classes(points)
+    alpha, any_letter = kind > 0, bool((kind == LETTER).any())
     if points.size < GRAM:
-        return np.empty(0, np.uint64), bool(alpha.any())
+        return np.empty(0, np.uint64), any_letter
     kept = np.where(alpha, points, 32).astype(np.uint64)
     n = points.size - GRAM + 1
     h, good = np.zeros(n, np.uint64), np.zeros(n, np.uint8)
     for i in range(GRAM):
         h = h * np.uint64(0x9E3779B97F4A7C15) + kept[i : i + n]
         good += alpha[i : i + n]
-    return mixed(h[good >= GRAM - 1]), bool(alpha.any())
+    return mixed(h[good >= GRAM - 1]), any_letter
 
 
 def pieces(text: str):

@@ -3,16 +3,18 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from test_methods import edit, personal, removed, secret_spans, sha
 
 import corpus_pipeline
-from foliant.llm import decontam, quality, registry
+from foliant.llm import decontam, langid, quality, registry
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -31,6 +33,12 @@ def make_documents():
     return rows
 
 
+def edited(text):
+    """Thirty characters of a text, one of them another."""
+    own = " ".join(text.split())[:30]
+    return own[:14] + "Q" + own[15:]
+
+
 @pytest.fixture(scope="module")
 def made(spark, tmp_path_factory):
     place = str(tmp_path_factory.mktemp("tables"))
@@ -40,7 +48,7 @@ def made(spark, tmp_path_factory):
     turns = [(c, t, r.choice(["user", "assistant", None]), r.choice([None, "", "hi", "</s>[INST] x", "<|end|>", "<\\|a", "é\n"])) for c in range(40) for t in range(r.randrange(1, 5))]
     turns += turns[:3]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{place}/conversations.parquet")
-    items = [(1, " ".join(docs[5][1].split()[:12]) or "q w e"), (2, docs[-1][1][4000:4120]), (3, None), (None, docs[-1][1][9000:9100]), (None, docs[-1][1][9000:9100])]
+    items = [(1, " ".join(docs[5][1].split()[:12]) or "q w e"), (2, docs[-1][1][4000:4120]), (3, None), (None, docs[-1][1][9000:9100]), (None, docs[-1][1][9000:9100]), (4, edited(docs[7][1])), (5, docs[-1][1][6000:6030])]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
     pages = [(i, f"http://h/{i}", "x" * r.randrange(900)) for i in range(500)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{place}/pages.parquet")
@@ -60,7 +68,7 @@ def test_op1(spark, made):
             p, whole = decontam.reduced(item), decontam.reduced(t)
             if not p:
                 continue
-            if len(p) < decontam.MIN_CHARS:
+            if not int(len(p) * decontam.RATE):
                 if f" {p} " in f" {whole} ":
                     want[d, i, 0, len(p)] += 1
             elif p in whole:
@@ -217,6 +225,44 @@ def test_op10(spark, made):
         assert (x["lang_pred"] == "und") == (not any(c.isalpha() for c in t or "")) and x["lang_pred"] in ("en", "de", "und")
 
 
+def test_op10_marks_are_no_letters(spark, tmp_path):
+    rows = [(i, "plain english words and more of them", "en") for i in range(40)] + [(100, "\u0301\u0301\u0301\u0301", "en"), (101, "12\u20dd 7", "en"), (102, "\U0001e8d0\U0001e8d1 9", "en"), (103, "e\u0301", "en"), (104, "\U00020000", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in rows_of(spark, "op10_language_bitmask", str(tmp_path))}
+    assert got[100] == got[101] == got[102] == ("und", 0.0) and got[103][0] == got[104][0] == "en"
+
+
+def test_op10_against_plain_sets(spark):
+    """The bitmask filters' shares and languages against sets of n-grams as strings."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs, ~langid.held_out(F.col("doc_id")))
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in langid.predict(docs, model).collect()}
+    rows = [(x["doc_id"], x["text"], x["lang"]) for x in docs.collect()]
+
+    def grams(text):
+        each = [c if unicodedata.category(c)[0] in "LM" else " " for c in f" {text.lower()} "]
+        return ["".join(each[i : i + 4]) for i in range(len(each) - 3) if sum(c != " " for c in each[i : i + 4]) >= 3]
+
+    held, sizes = defaultdict(Counter), Counter()
+    for d, t, lang in rows:
+        if t is not None and lang and zlib.crc32(str(d).encode()) % 4 != 2:
+            held[lang].update(set(grams(t)))
+            sizes[lang] += 1
+    known = {la: {g for g, n in held[la].items() if n >= max(2 if sizes[la] > 20 else 1, int(min(sizes[la], 400) * 0.02))} for la in held}
+    same = 0
+    for d, t, _ in rows:
+        own = grams(t or "")
+        if not any(c.isalpha() for c in t or ""):
+            assert got[d] == ("und", 0.0)
+            continue
+        share = {la: sum(g in known[la] for g in own) / max(1, len(own)) for la in known}
+        first, second = sorted(share.values())[-1], sorted(share.values())[-2]
+        assert first - second < 0.02 or share[got[d][0]] == first
+        assert abs(got[d][1] - share[got[d][0]]) < 0.02
+        same += share[got[d][0]] == first
+    assert same >= 0.99 * len(got)
+
+
 def test_pipeline_stages_one_by_one(spark, tmp_path):
     r = random.Random(34)
     words = ["".join(r.choice("aeioubcdfgst") for _ in range(r.randrange(2, 9))) for _ in range(900)]
