@@ -40,11 +40,10 @@ from foliant.llm.graph import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 CAP = 48
-NEAR_CAP = 3  # for similar texts; by chance hardly any bucket has more
 ROUND = 4  # segments that are searched at once
 RECALL, CHANCE = 0.99, 2.0  # of pairs at the least similarity; unrelated fingerprints that a bucket holds on average
 DENSE = 8  # fingerprints of a bucket beyond which it is searched by complete distances
-WORDS, SKETCH = 4, 57  # a fingerprint's first words that rows carry; bits of them that differ in a candidate at most (at 15 % each: 39, and 6 more or less)
+WORDS, SKETCH = 6, 79  # a fingerprint's first words that rows carry; bits of them that differ in a candidate at most (at 15 % each: 58, and 7 more or less)
 HUBS = 2  # times that a bucket's members are compared with one of them, the best connected so far
 PART = 1 << 16  # shingles that are remixed at once
 WIDE = 16  # words whose bits are summed side by side
