@@ -34,7 +34,7 @@ def bind_marks(lines: DataFrame, page: Sequence[str], at: str, y: str, is_mark:
 
 def numbers_of(text: Column) -> Column:
     """Numbers of a mark ("1, 3")."""
-    return F.transform(F.split(text, ","), lambda s: F.trim(s).cast("int"))
+    return F.array_compact(F.transform(F.split(text, ","), lambda s: F.trim(s).try_cast("int")))
 
 
 def with_marks(lines: DataFrame, bound: DataFrame, doc: str, at: str, numbers: Column, name: str = "marks") -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliant.operators import layout, notes, scans
-from foliant.plans.bindings import query
+from foliant.operators import criteria, layout, notes, row_grammar, scans
+from foliant.plans.bindings import ORACLE_SQL, _criteria_lines, query
 
 # ---------------------------------------------------------------- lines made of events
 
@@ -198,3 +198,37 @@ SELECT doc_id::VARCHAR AS doc_id, page, row_number() OVER (PARTITION BY doc_id,
 def layout_columns(read):
     """Lines of pages of one and of two columns in reading order."""
     return layout.layout_lines(_items(read)).select("doc_id", "page", "line_no", F.md5("text").alias("h"), "x", "y")
+
+
+# ---------------------------------------------------------------- rows of criteria tables
+
+#: A line for each part, in eight forms: one plane, two planes, a placeholder, a glued letter, a heading, surroundings, footcandles alone, an empty plane.
+FORMS_SQL = """SELECT p_partkey, p_partkey % 8 AS f, p_size AS n, CASE p_partkey % 8 WHEN 0 THEN 'Space ' || p_partkey || ' room' WHEN 1 THEN 'Hall' WHEN 2 THEN 'Rm, < ' || p_size || ' people' WHEN 3 THEN 'Court (avg.)'
+  WHEN 4 THEN 'Heading ' || p_partkey || ' of rooms' WHEN 5 THEN 'Path' WHEN 6 THEN 'Room Min' ELSE 'Lot' END AS label FROM part"""
+
+
+def _forms(read):
+    key, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    said = {
+        0: ("Space ", key.cast("string"), " room T P ", n, "0 lx @ TS ", n, " fc @ TS Avg"), 1: ("Hall A L M ", n, " lx @ 0.76 m ", n, " fc @ 2.5 ft Max 3:1 O 200 lx @ 1.22 m 20 fc @ 4 ft Min"),
+        2: ("Rm, < ", n, " people T # 0.76 m # 2.5 ft O ", n, " lx @ 1.22 m ", n, " fc @ 4 ft Avg"), 3: ("Court (avg.)A", n, " lx"), 4: ("Heading ", key.cast("string"), " of rooms"),
+        5: ("Path T ", n, " lux 40% G3 Class of Play: II"), 6: ("Room Min T H ", n, ".5 footcandles @ 0 ft"), 7: ("Lot # ", n, " lx"),
+    }
+    text = F.coalesce(*[F.when(key % 8 == f, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])) for f, parts in said.items()])
+    return read("part").select("p_partkey", text.alias("text"))
+
+
+@query(f"""SELECT p_partkey, label, f <> 4 AS has_data, CASE WHEN f IN (0, 2, 5, 6) THEN 'Task' WHEN f IN (1, 3) THEN 'Area' END AS area_or_task, CASE f WHEN 1 THEN 'L' WHEN 6 THEN 'H' END AS veiling_risk,
+CASE f WHEN 0 THEN 'P' WHEN 1 THEN 'M' WHEN 5 THEN 'T' END AS hor_cat, CASE WHEN f = 0 THEN n * 10.0 WHEN f IN (1, 3, 5) THEN n END::DOUBLE AS hor_lux, CASE f WHEN 1 THEN 0.76 END::DOUBLE AS hor_height_m, CASE WHEN f IN (0, 1) THEN n WHEN f = 6 THEN n + 0.5 END::DOUBLE AS hor_fc, CASE f WHEN 0 THEN 'Avg' WHEN 1 THEN 'Max' END AS hor_basis,
+CASE f WHEN 1 THEN '3:1' END AS hor_uniformity, CASE WHEN f IN (1, 2) THEN 'O' END AS ver_cat, CASE WHEN f = 1 THEN 200 WHEN f IN (2, 7) THEN n END::DOUBLE AS ver_lux, CASE WHEN f IN (1, 2) THEN 1.22 END::DOUBLE AS ver_height_m, CASE f WHEN 1 THEN 20 WHEN 2 THEN n END::DOUBLE AS ver_fc,
+CASE f WHEN 1 THEN 'Min' WHEN 2 THEN 'Avg' END AS ver_basis, CASE f WHEN 5 THEN 'G3' END AS glare_max, CASE f WHEN 5 THEN 'II' END AS class_of_play FROM ({FORMS_SQL})""")
+def row_forms(read):
+    """Rows of every form, field by field."""
+    fields = "label has_data area_or_task veiling_risk hor_cat hor_lux hor_height_m hor_fc hor_basis hor_uniformity ver_cat ver_lux ver_height_m ver_fc ver_basis glare_max class_of_play".split()
+    return row_grammar.parsed(_forms(read), "text").select("p_partkey", *fields)
+
+
+@query(ORACLE_SQL["extract_rows"])
+def criteria_rows(read):
+    """Records of criteria pages, all by columns."""
+    return criteria.extract(_criteria_lines(read)).select("standard", "page_number", "sub_category", "app", "area_or_task", "hor_cat", "hor_lux", "hor_fc", "hor_basis", "tm24_eligible")
