@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.operators.relational import row_number_of
 from foliant.operators.vector import top_per
 
 LEVELS = ["sub_category", "app", "app_s1", "app_s2", "app_s3", "app_s4", "app_s5", "app_s6"]
@@ -396,7 +397,7 @@ def extract_rows(lines: DataFrame) -> DataFrame:
         return pd.DataFrame(extract_pages(pages, landscape, doc["doc_id"].iloc[0]), columns=names)
 
     found = lines.groupBy("doc_id").applyInPandas(run, RECORD_SCHEMA).where(is_valid())
-    return top_per(found, ["code"], [F.col("page_number"), F.col("standard"), F.col("row_ref")], 1)
+    return top_per(found, ["code"], [F.col("page_number"), F.col("standard"), row_number_of(F.col("row_ref"))], 1)
 
 
 def is_clean_label(c: Column) -> Column:

@@ -78,11 +78,11 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
     part = F.shiftright("__m", 33)
     sizes = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    base, entries = 1, []
-    for k in sorted(sizes):
-        entries += [F.lit(k).cast("long"), F.lit(base).cast("long")]
-        base += sizes[k]
-    start = F.element_at(F.create_map(*entries), part) if entries else F.lit(1).cast("long")
+    base, starts = 1, []
+    for k in range(max(sizes, default=-1) + 1):
+        starts.append(F.lit(base).cast("long"))
+        base += sizes.get(k, 0)
+    start = F.get(F.array(*starts), part.cast("int")) if starts else F.lit(1).cast("long")  # an array by partition: found in one step
     return placed.withColumn(name, start + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m")
 
 

@@ -30,12 +30,12 @@ def quoted_csv(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 
 def catalogue_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Columns Folder Path, Title, Doc ID, Web Viewer URL (any case) -> id, doc_id, web_url, deprecated: current copies beat archived ones, then the first wins."""
+    """Columns Folder Path, Title, Doc ID, Web Viewer URL (any case) -> id, doc_id, web_url, deprecated: current copies beat archived ones, then the first wins (by file name, then place in the file)."""
     raw = quoted_csv(spark, path)
     names = {c.strip().lower(): c for c in raw.columns}
     pick = lambda n: F.col(f"`{names[n]}`") if n in names else F.lit(None).cast("string")
-    rows = raw.select(id_from_title(pick("title")).alias("id"), pick("doc id").alias("doc_id"), pick("web viewer url").alias("web_url"), F.coalesce(is_deprecated_path(pick("folder path")), F.lit(False)).alias("deprecated"), F.monotonically_increasing_id().alias("ord"))
-    return top_per(rows.where("id is not null and doc_id is not null"), ["id"], [F.col("deprecated"), F.col("ord")], 1).drop("ord")
+    rows = raw.select(id_from_title(pick("title")).alias("id"), pick("doc id").alias("doc_id"), pick("web viewer url").alias("web_url"), F.coalesce(is_deprecated_path(pick("folder path")), F.lit(False)).alias("deprecated"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ord"))
+    return top_per(rows.where("id is not null and doc_id is not null"), ["id"], [F.col("deprecated"), F.col("file"), F.col("ord")], 1).drop("file", "ord")
 
 
 def mapping_file(spark: SparkSession, path: str) -> DataFrame:
