@@ -26,8 +26,9 @@ def criteria_lines(lines: DataFrame) -> DataFrame:
     """All lines with ``pos`` (their place in the document), trimmed text, and ``chosen``: whether the page holds criteria."""
     said = lines.select("doc_id", "page", (F.col("page") * F.lit(STRIDE).cast("long") + F.col("line_no")).alias("pos"), F.trim(F.coalesce("text", F.lit(""))).alias("text"), "x", "y", F.col("font_size").alias("font"), F.coalesce("page_width", F.lit(842.0)).alias("width"), (F.col("page_width") > F.col("page_height")).alias("wide"))
     dual, data = F.col("text").rlike(fixed.DUAL_UNIT), F.col("text").rlike(java(fixed.DATA_LINE))
-    pages = said.groupBy(*PAGE).agg(((F.count(F.lit(1)) >= 10) & (F.bool_or(dual) | (F.bool_or("wide") & (F.count_if(data) >= 3)))).alias("chosen"))
-    return said.join(pages.na.fill(False, ["chosen"]), PAGE)
+    of_page = Window.partitionBy(*PAGE)
+    chosen = (F.count(F.lit(1)).over(of_page) >= 10) & (F.bool_or(dual).over(of_page) | (F.bool_or("wide").over(of_page) & (F.count_if(data).over(of_page) >= 3)))
+    return said.withColumn("chosen", F.coalesce(chosen, F.lit(False)))
 
 
 def classified(lines: DataFrame) -> DataFrame:

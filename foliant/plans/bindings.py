@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import ids, quantities, text
 from foliant.functions.vocabulary import ARTICLE, COMPARISON_PATTERNS, QUESTION_PATTERNS, REFERENCE_PATTERNS, SYNONYMS, TRAILING_PATTERNS
-from foliant.operators import changes, chunking, extraction, layout, maintenance, references, relational, reports, tables, vector
+from foliant.operators import changes, chunking, extraction, layout, maintenance, references, relational, reports, scans, tables, vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -661,12 +661,14 @@ k AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY standard, page_number
 
 
 def _criteria_lines(read):
-    a = read("part").select(F.concat(F.lit("RP-"), (F.col("p_partkey") % 4 + 1).cast("string"), F.lit("-22")).alias("doc_id"), "p_partkey", "p_size")
-    a = a.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("p_partkey")) - 1)
+    parts = read("part").select(F.concat(F.lit("RP-"), (F.col("p_partkey") % 4 + 1).cast("string"), F.lit("-22")).alias("doc_id"), "p_partkey", "p_size")
+    a = scans.running(parts, ["doc_id"], "p_partkey", {"n": ("sum", F.lit(1).cast("long"))}).withColumn("n", F.col("n") - 1)
     said = F.format_string("Space %d room T %s %d lx @ TS %d fc @ TS Avg", "p_partkey", F.when(F.col("p_size") > 25, "P").otherwise("M"), F.col("p_size") * 10, "p_size")
-    rows = a.select("doc_id", (F.floor(F.col("n") / 20) + 1).cast("int").alias("page"), (F.col("n") % 20 + 1).cast("int").alias("line_no"), said.alias("text"), F.lit(78.0).alias("x"))
-    head = rows.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(0).alias("line_no"), F.format_string("Hall %d", "page").alias("text"), F.lit(70.0).alias("x"))
-    return rows.unionByName(head).select("doc_id", "page", "line_no", "text", "x", (F.col("line_no") * 10.0 + 20).alias("y"), F.lit(7.5).alias("font_size"), F.lit(False).alias("bold"), F.lit(792.0).alias("page_width"), F.lit(612.0).alias("page_height"))
+    page, line = (F.floor(F.col("n") / 20) + 1).cast("int"), lambda no, t, x: F.struct(no.cast("int").alias("line_no"), t.alias("text"), F.lit(x).alias("x"))
+    # a page's heading comes with its first row
+    lines = F.filter(F.array(F.when(F.col("n") % 20 == 0, line(F.lit(0), F.format_string("Hall %d", page), 70.0)), line(F.col("n") % 20 + 1, said, 78.0)), lambda v: v.isNotNull())
+    rows = a.select("doc_id", page.alias("page"), F.inline(lines))
+    return rows.select("doc_id", "page", "line_no", "text", "x", (F.col("line_no") * 10.0 + 20).alias("y"), F.lit(7.5).alias("font_size"), F.lit(False).alias("bold"), F.lit(792.0).alias("page_width"), F.lit(612.0).alias("page_height"))
 
 
 @query(PART_ROWS + """SELECT standard, page_number, 'Hall ' || page_number AS sub_category, room AS app, 'Task' AS area_or_task, CASE WHEN p_size > 25 THEN 'P' ELSE 'M' END AS hor_cat, CAST(p_size * 10 AS DOUBLE) AS hor_lux, CAST(p_size AS DOUBLE) AS hor_fc,
