@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import ids, quantities, text
 from foliant.functions.vocabulary import ARTICLE, COMPARISON_PATTERNS, QUESTION_PATTERNS, REFERENCE_PATTERNS, SYNONYMS, TRAILING_PATTERNS
-from foliant.operators import changes, chunking, extraction, layout, maintenance, references, relational, reports, scans, tables, vector
+from foliant.operators import changes, chunking, criteria, extraction, layout, maintenance, references, relational, reports, scans, tables, vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -685,7 +685,7 @@ def classify_structure(read):
 
 @query(PART_ROWS + """SELECT standard, count(*) AS total, count(*) AS hor_lux, CAST(0 AS BIGINT) AS ver_lux, count(*) AS hor_cat, count(*) AS app, count(*) AS page, CAST(0 AS BIGINT) AS footnotes, count(*) FILTER (p_size > 25) AS tm24, count(*) AS any_lux, CAST(0 AS BIGINT) AS gaps, true AS passed FROM k GROUP BY standard""")
 def extraction_report(read):
-    return extraction.extraction_report(extraction.extract_rows(_criteria_lines(read)))
+    return extraction.extraction_report(criteria.extract(_criteria_lines(read)))
 
 
 @query(PART_ROWS + """SELECT standard, page_number, room || '. ' || room || '. Hall ' || page_number || ' ' || room || '. task. indoor. standard ' || standard AS description FROM k""")
