@@ -690,7 +690,7 @@ def extraction_report(read):
 
 @query(PART_ROWS + """SELECT standard, page_number, room || '. ' || room || '. Hall ' || page_number || ' ' || room || '. task. indoor. standard ' || standard AS description FROM k""")
 def embed_description(read):
-    return extraction.extract_rows(_criteria_lines(read)).select("standard", "page_number", extraction.embed_text().alias("description"))
+    return criteria.extract(_criteria_lines(read)).select("standard", "page_number", extraction.embed_text().alias("description"))
 
 
 @query("""SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1""")
