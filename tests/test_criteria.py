@@ -2,11 +2,13 @@
 
 import random
 
+import pytest
+
 from test_documents import criteria_page
 from test_row_grammar import TOKENS
 
 from foliant.operators import criteria, extraction, layout
-from foliant.plans import bindings
+from foliant.plans import bindings, catalogue
 
 NAMES = [c.split()[0] for c in extraction.RECORD_SCHEMA.split(", ")]
 
@@ -66,3 +68,11 @@ def test_lines_of_parts_are_numbered_by_pieces(spark, tmp_path):
     got = [(x["doc_id"], x["page"], x["line_no"], x["text"]) for x in lines.collect()]
     assert set(got) == want and len(got) == len(want)
     assert "row_number" not in lines._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("name", ["extract_rows", "extraction_report", "embed_description"])
+def test_queries_hold_no_document_in_a_task(spark, monkeypatch, name):
+    """They read through the columns, not through the line-by-line reader."""
+    asked = []
+    monkeypatch.setattr(criteria, "extract", lambda lines: asked.append(lines) or spark.createDataFrame([], extraction.RECORD_SCHEMA))
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 0 and len(asked) == 1
