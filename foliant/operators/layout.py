@@ -3,14 +3,16 @@
 Items are rows (doc_id, page, item_no, text, x, y, width, font_size, font_name, page_width,
 page_height), y from the bottom as page formats have it. Header detection is one aggregate;
 columns are found by a sweep over the edges of a page's items;
-pages are laid out one by one, so a page is what a task holds.
+lines are assembled from a stream of pages, many at a time, so a batch or a page is what a task holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,80 +39,113 @@ def sized(items: DataFrame) -> DataFrame:
     return items.where(F.trim("text") != "").withColumn("font_size", F.when(F.isnan(size), 10.0).otherwise(size)).withColumn("width", F.coalesce(given, F.length("text") * F.col("font_size") * 0.5))
 
 
-def column_splits(items: DataFrame, page: Sequence[str] = ("doc_id", "page")) -> DataFrame:
-    """(page, split): where pages of two columns divide; pages of one column have no row.
+def page_splits(items: DataFrame, page: Sequence[str] = ("doc_id", "page")) -> DataFrame:
+    """(page, split, page_width, page_height) of all pages: where those of two columns divide, null for one column.
 
     A sweep over the edges of all items: the running number of items over each bucket of X_BUCKET points; the longest stretch
     (the first of equally long ones) of the page's middle half that none covers divides the page if it is wide
-    enough, stands between text, and each side holds a fifth of the items. A page's edges are at most two a bucket.
+    enough, stands between text, and each side holds a fifth of the items. A page's edges are at most two a bucket, and no item
+    begins in an empty stretch, so the items to its left are those begun before it.
     """
-    n = (F.ceil(F.col("page_width") / X_BUCKET) + 1).cast("int")
-    bucket = lambda c: F.greatest(F.lit(0), F.least(c.cast("int"), n - 1))
-    # stretches that begin or end a page stand for themselves, so that what is empty at its borders is seen
-    edge = lambda at, d: F.struct(at.cast("int").alias("b"), F.lit(d).cast("long").alias("d"))
-    edges = items.select(*page, "page_width", F.explode(F.array(edge(bucket(F.floor(F.col("x") / X_BUCKET)), 1), edge(bucket(F.ceil((F.col("x") + F.col("width")) / X_BUCKET)) + 1, -1), edge(F.lit(0), 0), edge(n, 0))).alias("e"))
-    steps = edges.groupBy(*page, F.col("e.b").alias("b")).agg(F.sum("e.d").alias("d"), F.max("page_width").alias("w"))
-    along = Window.partitionBy(*page).orderBy("b")
-    runs = steps.withColumns({"cover": F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0)), "to": F.lead("b").over(along), "first": F.min(F.when(F.col("d") > 0, F.col("b"))).over(Window.partitionBy(*page))})
-    # cover rises again after an empty stretch, so text follows one that ends before the page does
+    n = lambda w: (F.ceil(w / X_BUCKET) + 1).cast("int")
+    bucket = lambda c: F.greatest(F.lit(0), F.least(c.cast("int"), n(F.col("page_width")) - 1))
+    edge = lambda at, begun: F.struct(at.cast("int").alias("b"), F.lit(begun).cast("long").alias("begun"))
+    edges = items.select(*page, "page_width", "page_height", F.explode(F.array(edge(bucket(F.floor(F.col("x") / X_BUCKET)), 1), edge(bucket(F.ceil((F.col("x") + F.col("width")) / X_BUCKET)) + 1, 0))).alias("e"))
+    steps = edges.groupBy(*page, F.col("e.b").alias("b")).agg(F.sum("e.begun").alias("begun"), F.count(F.lit(1)).alias("n"), F.max("page_width").alias("w"), F.max("page_height").alias("h"))
+    of_page = Window.partitionBy(*page)
+    along = of_page.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    runs = steps.withColumns({
+        "left": F.sum("begun").over(along), "cover": F.sum(2 * F.col("begun") - F.col("n")).over(along), "to": F.coalesce(F.lead("b").over(of_page.orderBy("b")), n(F.max("w").over(of_page))),
+        "first": F.min("b").over(of_page), "items": F.sum("begun").over(of_page), "w": F.max("w").over(of_page), "h": F.max("h").over(of_page),
+    })
+    # stretches that begin or end a page count too, so that what is empty at its borders is seen
     low, high = F.floor(F.col("w") * 0.25 / X_BUCKET), F.ceil(F.col("w") * 0.75 / X_BUCKET)
-    empty = runs.where("cover = 0 and to is not null").withColumns({"a": F.greatest("b", low), "z": F.least("to", high)}).where("a < z")
-    longest = empty.groupBy(*page).agg(F.max(F.struct((F.col("z") - F.col("a")).alias("len"), (-F.col("a")).alias("a"), "to", "first", "w")).alias("r")).select(*page, "r.len", (-F.col("r.a")).alias("a"), "r.to", "r.first", "r.w")
-    middle = (F.col("a") + F.col("len") / 2) * X_BUCKET
-    wide = longest.where((F.col("len") * X_BUCKET >= MIN_GAP) & (F.col("first") < F.col("a")) & (F.col("to") < F.ceil(F.col("w") / X_BUCKET) + 1) & (F.abs(middle - F.col("w") / 2) <= F.col("w") * 0.25)).select(*page, middle.alias("split"))
-    sides = items.join(wide, list(page)).groupBy(*page, "split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") < F.col("split")).alias("left"))
-    return sides.where((F.col("n") >= MIN_ITEMS) & (F.least("left", F.col("n") - F.col("left")) >= F.col("n") * 0.2)).select(*page, "split")
+    stretch = lambda a, z, to, left: F.struct((F.least(z, high) - F.greatest(a, low)).alias("len"), (-F.greatest(a, low)).alias("a"), to.alias("to"), left.alias("left"))
+    before = F.when(F.col("b") == F.col("first"), stretch(F.lit(0), F.col("b"), F.col("b"), F.lit(0).cast("long")))
+    own = F.when(F.col("cover") == 0, stretch(F.col("b"), F.col("to"), F.col("to"), F.col("left")))
+    some = lambda r: F.when(r["len"] > 0, r)
+    longest = runs.groupBy(*page).agg(F.max(F.greatest(some(before), some(own))).alias("r"), *[F.max(c).alias(c) for c in ("w", "h", "first", "items")])
+    length, a, left = F.col("r.len"), -F.col("r.a"), F.col("r.left")
+    # cover rises again after an empty stretch, so text follows one that ends before the page does
+    middle = (a + length / 2) * X_BUCKET
+    wide = (length * X_BUCKET >= MIN_GAP) & (F.col("first") < a) & (F.col("r.to") < F.ceil(F.col("w") / X_BUCKET) + 1) & (F.abs(middle - F.col("w") / 2) <= F.col("w") * 0.25)
+    held = (F.col("items") >= MIN_ITEMS) & (F.least(left, F.col("items") - left) >= F.col("items") * 0.2)
+    return longest.select(*page, F.when(wide & held, middle).alias("split"), F.col("w").alias("page_width"), F.col("h").alias("page_height"))
+
+
+def column_splits(items: DataFrame, page: Sequence[str] = ("doc_id", "page")) -> DataFrame:
+    """(page, split): where pages of two columns divide; pages of one column have no row."""
+    return page_splits(items, page).where("split is not null").select(*page, "split")
 
 
 def joined(words: list[tuple[str, float, float, float]]) -> str:
-    """A line's text from (text, x, width, font size): a space where the gap to the last glyph is over a quarter of the font size."""
-    out, end = "", 0.0
-    for text, x, width, size in words:
-        if out and x - end > 0.25 * size and not out[-1].isspace() and not text[0].isspace():
-            out += " "
-        out, end = out + text, x + width
-    return " ".join(out.split())
-
-
-def page_lines(page: pd.DataFrame, skip: set[str], split: float | None) -> pd.DataFrame:
-    """The lines of one page (of sized items) in reading order."""
-    names = ["doc_id", "page", "text", "x", "y", "width", "font_size", "font_name", "page_width", "page_height"]
-    doc, number, texts, xs, ys, widths, sizes, fonts, page_width, page_height = (page[n].to_numpy() for n in names)
-    heavy = [any(w in (font or "").lower() for w in ("bold", "black", "heavy")) or size > 14 for font, size in zip(fonts, sizes, strict=True)]
-    items = list(zip(page_height[0] - ys, xs, texts, widths, sizes, heavy, strict=True))
+    """A line's text from (text, x, width, font size)."""
+    x, width, size = (np.array([w[i] for w in words], np.float64) for i in (1, 2, 3))
+    return _texts(pa.array([w[0] for w in words], pa.string()), x, x + width, size, np.zeros(1, np.int64))[0]
+
+
+def _texts(words: pa.Array, x: np.ndarray, end: np.ndarray, size: np.ndarray, starts: np.ndarray) -> list[str]:
+    """Texts of lines that begin at ``starts``: a space where the gap to the last glyph is over a quarter of the font size; no space comes twice."""
+    apart = np.r_[False, x[1:] - end[:-1] > 0.25 * size[1:]]
+    spaced = pc.binary_join_element_wise(pa.array(["", " "]).take(pa.array(apart.astype(np.int64))), words, "")
+    lines = pa.ListArray.from_arrays(pa.array(np.r_[starts, x.size], pa.int32()), spaced)
+    return [" ".join(s.split()) for s in pc.binary_join(lines, "").to_pylist()]
+
+
+def page_lines(rows: pa.Table) -> pa.RecordBatch:
+    """The lines of whole pages in reading order; each page is a row with what is known of it, then its (sized) items."""
+    known = rows["known"].to_numpy()
+    pages, items = rows.filter(rows["known"]), rows.filter(pc.invert(rows["known"]))
+    at, number = np.cumsum(known)[~known] - 1, lambda c: items[c].to_numpy().astype(np.float64)
+    x, width, size, heavy, order_no = number("x"), number("width"), number("font_size"), items["heavy"].to_numpy(), items["item_no"].to_numpy()
+    top = pages["page_height"].to_numpy()[at] - number("y")
+    right = x >= pc.fill_null(pages["split"], np.inf).to_numpy()[at]
+    order = np.lexsort((order_no, x, top, right, at))
     # items within three points are one line: each run of close heights is an island, read from left to right
-    rows, line, last = [], [], None
-
-    def close() -> None:
-        line.sort(key=lambda i: i[1])
-        text = joined([(i[2], i[1], i[3], i[4]) for i in line])
-        if text and text.lower() not in skip:
-            rows.append((doc[0], int(number[0]), len(rows), text, line[0][1], line[0][0], sum(i[4] for i in line) / len(line), any(i[5] for i in line), float(page_width[0]), float(page_height[0])))
-        line.clear()
-
-    side = lambda i: split is not None and i[1] >= split
-    for item in sorted(items, key=lambda i: (side(i), i[0], i[1])):
-        if line and (side(item) != last[0] or item[0] - last[1] > 3):
-            close()
-        line.append(item)
-        last = (side(item), item[0])
-    if line:
-        close()
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in LINE_SCHEMA.split(", ")])
+    new = np.r_[True, (np.diff(at[order]) != 0) | np.diff(right[order]) | (np.diff(top[order]) > 3)][: order.size]
+    line = np.cumsum(new)
+    order = order[np.lexsort((x[order], line))]
+    x, width, size, top, heavy, starts = x[order], width[order], size[order], top[order], heavy[order], np.flatnonzero(new)
+    texts = _texts(items["text"].combine_chunks().take(pa.array(order)), x, x + width, size, starts)
+    of = at[order][starts]
+    skip = [frozenset(m or ()) for m in pages["margins"].to_pylist()]
+    kept = np.array([bool(t) and not (skip[p] and t.lower() in skip[p]) for t, p in zip(texts, of.tolist(), strict=True)], bool)
+    before = np.r_[0, np.cumsum(kept)]
+    line_no = before[:-1] - before[np.searchsorted(of, of, "left")]
+    lengths = np.diff(np.r_[starts, x.size])
+    mean = np.add.reduceat(size, starts) / lengths if starts.size else np.zeros(0)
+    bold = np.maximum.reduceat(heavy, starts) if starts.size else np.zeros(0, bool)
+    of_page = pa.array(of[kept])
+    fixed = {c: pages[c].combine_chunks().take(of_page) for c in ("doc_id", "page", "page_width", "page_height")}
+    columns = [fixed["doc_id"], fixed["page"].cast(pa.int32()), pa.array(line_no[kept], pa.int32()), pa.array([t for t, k in zip(texts, kept.tolist(), strict=True) if k], pa.string())]
+    columns += [pa.array(v[kept]) for v in (x[starts], top[starts], mean, bold)] + [fixed["page_width"], fixed["page_height"]]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in LINE_SCHEMA.split(", ")])
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of a stream of pages; the page under way waits for the next batch."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        begun = np.flatnonzero(batch.column("known").to_numpy(zero_copy_only=False))
+        if begun.size and (waiting or begun[-1]):
+            yield page_lines(pa.Table.from_batches([*waiting, batch.slice(0, begun[-1])]))
+            waiting, batch = [], batch.slice(begun[-1])
+        waiting.append(batch)
+    if waiting:
+        yield page_lines(pa.Table.from_batches(waiting))
 
 
 def layout_lines(items: DataFrame) -> DataFrame:
     """All items -> LINE_SCHEMA, a row per line."""
     margins = repeated_margins(items).groupBy("doc_id").agg(F.collect_set("text").alias("margins"))
     items = sized(items)
-    of_page = items.select("doc_id", "page").distinct().join(margins, "doc_id", "left").join(column_splits(items), ["doc_id", "page"], "left")
-
-    def run(page: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        skip, split = known["margins"].iloc[0], known["split"].iloc[0]
-        return page_lines(page, set(skip) if skip is not None else set(), None if pd.isna(split) else split)
-
-    of_page = of_page.select(F.col("doc_id").alias("of_doc"), F.col("page").alias("of_page"), "margins", "split")
-    return items.groupBy("doc_id", "page").cogroup(of_page.groupBy("of_doc", "of_page")).applyInPandas(run, LINE_SCHEMA)
+    of_page = page_splits(items).join(margins, "doc_id", "left").withColumn("known", F.lit(True))
+    font = F.lower(F.coalesce("font_name", F.lit("")))
+    heavy = font.contains("bold") | font.contains("black") | font.contains("heavy") | (F.col("font_size") > 14)
+    said = items.select("doc_id", "page", F.col("item_no").cast("long").alias("item_no"), "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "font_size")], heavy.alias("heavy"), F.lit(False).alias("known"))
+    # a page's row comes before its items
+    rows = said.unionByName(of_page.select("doc_id", "page", "known", "margins", "split", *[F.col(c).cast("double").alias(c) for c in ("page_width", "page_height")]), allowMissingColumns=True)
+    return rows.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", F.desc("known")).mapInArrow(_whole_pages, LINE_SCHEMA)
 
 
 def metadata(raw: DataFrame) -> DataFrame:

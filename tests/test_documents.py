@@ -168,3 +168,25 @@ def test_column_splits_by_buckets(spark):
                 want[p] = split
     df = spark.createDataFrame(rows, "doc_id string, page int, item_no int, text string, x double, y double, width double, font_size double, font_name string, page_width double, page_height double")
     assert {x["page"]: x["split"] for x in layout.column_splits(layout.sized(df)).collect()} == want and 40 < len(want) < 160
+
+
+def test_pages_are_laid_out_across_batches(spark):
+    """Pages of more rows than a batch and pages that batches cut; the order of equal places is that of the items."""
+    rows = [("d", p, i, f"w{i % 30}", 40.0 + 45 * (i % 12), 760.0 - 18 * (i // 12 % 40), 40.0, 10.0, None, 612.0, 792.0) for p, n in ((1, 480), (2, 7), (3, 480), (4, 1)) for i in range(n)]
+    items = spark.createDataFrame(rows, "doc_id string, page int, item_no int, text string, x double, y double, width double, font_size double, font_name string, page_width double, page_height double")
+    whole = sorted(map(tuple, layout.layout_lines(items).collect()))
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        assert sorted(map(tuple, layout.layout_lines(items.repartition(3)).collect())) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert [r[2] for r in whole if r[1] == 3] == list(range(40)) and " ".join(r[3] for r in whole if r[1] == 2) == " ".join(f"w{i}" for i in range(7))
+
+
+def test_layout_sends_no_item_twice(spark):
+    """Columns are found from sums by page and bucket; items meet no join, and no page is a group of its own in Python."""
+    items = spark.createDataFrame([("d", 1, 0, "t", 50.0, 100.0, 10.0, 10.0, "f", 612.0, 792.0)], "doc_id string, page int, item_no int, text string, x double, y double, width double, font_size double, font_name string, page_width double, page_height double")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(layout.column_splits(layout.sized(items)))
+    assert "FlatMap" not in plan(layout.layout_lines(items))
