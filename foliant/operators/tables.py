@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from foliant.operators.batches import batches_of, rows_of
+
 #: Titles, header words and footnote starts.
 TITLE = re.compile(r"^Table\s+([A-Z0-9]+-?\d*)\s*[:.]?\s*(.*)", re.I)
 ANNEX = re.compile(r"^(?:Annex|Appendix)\s+([A-Z])\s*[:.]?\s*(.*)", re.I)
@@ -52,10 +56,10 @@ def read_block(block: list[str]) -> dict | None:
     if len(block) < 4:
         return None
     found = _titled(block[0])
-    is_header = [any(w in line.lower() for w in HEADER_WORDS) for line in block]
     last = 0
     for i in range(1, min(len(block), 10)):
-        if is_header[i]:
+        said = block[i].lower()
+        if any(w in said for w in HEADER_WORDS):
             last = i
         elif i > 1 and last:
             break
@@ -85,14 +89,15 @@ def general_notes(lines: list[str]) -> list[tuple[str, str]]:
     return out
 
 
-def _per_page(lines: DataFrame, schema: str, read) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+def _per_page(lines: DataFrame, schema: str, types: list[pa.DataType], read: Callable[[list[str]], Iterable[tuple]]) -> DataFrame:
+    """Pages stream by, one is what a task holds."""
+    out = pa.schema([(c.split()[0], t) for c, t in zip(schema.split(", "), [pa.string(), pa.int32(), *types], strict=True)])
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        texts = [t or "" for t in page.sort_values("line_no")["text"]]
-        return pd.DataFrame([(page["doc_id"].iloc[0], int(page["page"].iloc[0]), *row) for row in read(texts)], columns=names)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches_of(((*page, *row) for page, rows in groupby(rows_of(batches), lambda r: r[:2]) for row in read([t or "" for _, _, t in rows])), out)
 
-    return lines.select("doc_id", "page", "line_no", "text").groupBy("doc_id", "page").applyInPandas(run, schema)
+    ordered = lines.select("doc_id", "page", "line_no", "text").repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "line_no")
+    return ordered.select("doc_id", "page", "text").mapInArrow(run, schema)
 
 
 def extract_tables(lines: DataFrame) -> DataFrame:
@@ -100,8 +105,8 @@ def extract_tables(lines: DataFrame) -> DataFrame:
         found = (read_block(b) for b in blocks(texts))
         return [tuple(t.values()) for t in found if t and t["rows"]]
 
-    return _per_page(lines, TABLE_SCHEMA, read)
+    return _per_page(lines, TABLE_SCHEMA, [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.list_(pa.string())), pa.string(), pa.string()], read)
 
 
 def extract_notes(lines: DataFrame) -> DataFrame:
-    return _per_page(lines, NOTE_SCHEMA, general_notes)
+    return _per_page(lines, NOTE_SCHEMA, [pa.string(), pa.string()], general_notes)

@@ -190,3 +190,26 @@ def test_layout_sends_no_item_twice(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan(layout.column_splits(layout.sized(items)))
     assert "FlatMap" not in plan(layout.layout_lines(items))
+
+
+def test_chunks_and_tables_from_streams(spark):
+    """Documents and pages that Arrow batches cut; none is a group of its own in Python."""
+    docs = {f"d{d}": [(n // 40 + 1, n, "Table A-1: data" if n % 20 == 0 else "General Notes" if n % 33 == 0 else f"{n // 9}.1 Heading of it" if n % 50 == 7 else " ".join(f"w{d}x{k}" for k in range(n % 13)) or None) for n in range(150 + 90 * d)] for d in range(4)}
+    lines = spark.createDataFrame([(d, p, n, t, 50.0 if n % 3 else None) for d, of in docs.items() for p, n, t in of], "doc_id string, page int, line_no int, text string, x double").repartition(3)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        chunks, found, notes = chunking.chunk_documents(lines), tables.extract_tables(lines), tables.extract_notes(lines)
+        assert not any("FlatMap" in df._jdf.queryExecution().optimizedPlan().toString() for df in (chunks, found, notes))
+        got, got_tables, got_notes = (sorted(map(tuple, df.collect()), key=repr) for df in (chunks, found, notes))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    want, want_tables, want_notes = [], [], []
+    for d, of in docs.items():
+        pages = [(p, [(t or "", 50.0 if n % 3 else None) for q, n, t in of if q == p]) for p in range(1, of[-1][0] + 1)]
+        want += [(d, i, *c) for i, c in enumerate(chunking.chunk_pages(pages))]
+        for p, said in pages:
+            texts = [t for t, _ in said]
+            want_tables += [(d, p, *t.values()) for t in map(tables.read_block, tables.blocks(texts)) if t and t["rows"]]
+            want_notes += [(d, p, *n) for n in tables.general_notes(texts)]
+    assert got == sorted(want, key=repr) and got_tables == sorted(want_tables, key=repr) and got_notes == sorted(want_notes, key=repr) and len(got) > 8 and got_tables and got_notes
