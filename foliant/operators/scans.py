@@ -7,10 +7,11 @@ is a whole number that orders the rows of a document; places may be missing, non
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,7 +121,7 @@ def segments(df: DataFrame, by: str, at: str, amount: str, target: int, restart:
     What a piece does to a count is a table of ``target`` entries, whatever came before; a fold over a document's
     tables gives the count at which each piece begins. Amounts are whole and not negative (null is 0), 0 <= restart < target.
     """
-    rows = df.select(F.col(by).alias("__by"), F.col(at).alias("__at"), F.floor(F.col(at) / chunk).alias("__piece"), F.coalesce(amount, F.lit(0)).cast("long").alias("__amount"))
+    rows = df.withColumns({"__by": F.col(by), "__at": F.col(at), "__piece": F.floor(F.col(at) / chunk), "__amount": F.coalesce(amount, F.lit(0)).cast("long")})
     kind = df.schema[by].dataType
     field = lambda n, t: T.StructField(n, t)
 
@@ -128,21 +129,44 @@ def segments(df: DataFrame, by: str, at: str, amount: str, target: int, restart:
         carry, times = transitions(piece.sort_by("__at")["__amount"].to_numpy(), target, restart)
         return pa.table({"__by": pa.array([key[0].as_py()], piece.schema.field("__by").type), "__piece": [key[1].as_py()], "carry": [carry.tolist()], "times": [times.tolist()]})
 
+    # only what comes before another piece of its document needs a table; most documents are one piece
+    ends = rows.groupBy(F.col("__by").alias("__b")).agg(F.max("__piece").alias("__end"), F.min("__piece").alias("__start")).where("__start < __end")
+    followed = rows.select("__by", "__at", "__piece", "__amount").join(ends, F.col("__by").eqNullSafe(F.col("__b")) & (F.col("__piece") < F.col("__end"))).drop("__b", "__start", "__end")
     schema = T.StructType([field("__by", kind), field("__piece", T.LongType()), field("carry", T.ArrayType(T.LongType())), field("times", T.ArrayType(T.LongType()))])
-    tables = rows.groupBy("__by", "__piece").applyInArrow(table, schema).groupBy("__by").agg(F.sort_array(F.collect_list(F.struct("__piece", "carry", "times"))).alias("t"))
+    tables = followed.groupBy("__by", "__piece").applyInArrow(table, schema).groupBy("__by").agg(F.sort_array(F.collect_list(F.struct("__piece", "carry", "times"))).alias("t"))
+    # a piece begins with what the last one before it that has rows ends with
     fold = F.expr("""aggregate(t, struct(0L as c, 0L as n, cast(array() as array<struct<__k: bigint, __c: bigint, __n: bigint>>) as starts),
-        (s, x) -> struct(x.carry[s.c] as c, s.n + x.times[s.c] as n, array_append(s.starts, struct(x.__piece as __k, s.c as __c, s.n as __n)) as starts), s -> s.starts)""")
+        (s, x) -> struct(x.carry[s.c] as c, s.n + x.times[s.c] as n, array_append(s.starts, struct(x.__piece as __k, x.carry[s.c] as __c, s.n + x.times[s.c] as __n)) as starts), s -> s.starts)""")
     starts = tables.select(F.col("__by").alias("__b"), F.inline(fold))
-    begun = rows.join(starts, F.col("__by").eqNullSafe(F.col("__b")) & (F.col("__piece") == F.col("__k"))).drop("__b", "__k")
-
-    def number(piece: pa.Table) -> pa.Table:
-        piece = piece.sort_by("__at")
-        full = np.zeros(piece.num_rows + 1, np.int64)
-        full[breaks(piece["__amount"].to_numpy(), piece["__c"][0].as_py(), target, restart) + 1] = 1
-        return pa.table({"__by": piece["__by"], "__at": piece["__at"], "segment": pa.array(piece["__n"].to_numpy() + np.cumsum(full[:-1]))})
-
-    numbers = begun.groupBy("__by", "__piece").applyInArrow(number, T.StructType([field("__by", kind), field("__at", df.schema[at].dataType), field("segment", T.LongType())]))
-    return df.join(numbers, F.col(by).eqNullSafe(F.col("__by")) & (F.col(at) == F.col("__at"))).drop("__by", "__at")
+    along = Window.partitionBy("__b").orderBy("__k")
+    later = starts.unionByName(ends.select("__b", F.col("__end").alias("__k"), F.lit(None).cast("long").alias("__c"), F.lit(None).cast("long").alias("__n")))
+    later = later.select("__b", "__k", *[F.lag(c).over(along).alias(c) for c in ("__c", "__n")]).where("__c is not null")
+    begun = rows.join(later, F.col("__by").eqNullSafe(F.col("__b")) & (F.col("__piece") == F.col("__k")), "left")
+    begun = begun.select(*df.columns, "__by", "__piece", "__at", "__amount", F.coalesce("__c", F.lit(0)).alias("__c"), F.coalesce("__n", F.lit(0)).alias("__n"))
+    helpers, out = ["__by", "__piece", "__at", "__amount", "__c", "__n"], T.StructType([*df.schema.fields, field("segment", T.LongType())])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count, done = None, 0, 0  # the piece under way, its running amount and its number of full counts
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, pieces = batch.column("__by"), batch.column("__piece").to_numpy()
+            amount, first, full = (batch.column(c).to_numpy() for c in ("__amount", "__c", "__n"))
+            of = pc.fill_null(keys.dictionary_encode().indices, -1).to_numpy()
+            cuts = np.r_[0, np.flatnonzero((of[1:] != of[:-1]) | (pieces[1:] != pieces[:-1])) + 1, of.size]
+            segment = np.empty(of.size, np.int64)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if a or last != (keys[0].as_py(), pieces[0]):
+                    count, done = int(first[a]), int(full[a])
+                at_ends = breaks(amount[a:b], count, target, restart)
+                segment[a:b] = done + np.searchsorted(at_ends, np.arange(b - a), "left")
+                count = restart + int(amount[a + at_ends[-1] + 1 : b].sum()) if at_ends.size else count + int(amount[a:b].sum())
+                done += at_ends.size
+            last = (keys[-1].as_py(), pieces[-1])
+            kept = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] not in helpers]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(segment)], out.names)
+
+    return begun.repartition("__by", "__piece").sortWithinPartitions("__by", "__piece", "__at").mapInArrow(number, out)
 
 
 # ---------------------------------------------------------------- left edges

@@ -111,3 +111,23 @@ def test_edge_levels(spark):
     assert got == {d: plain([x for e, x in edges if e == d]) for d in "abd"} and len(got["a"]) == 3
     level = spark.createDataFrame([(71.0, [60.0, 71.5, 88.0]), (66.0, [60.0, 72.0]), (5.0, [])], "x double, levels array<double>")
     assert [x[0] for x in level.select(scans.level_of(F.col("x"), F.col("levels"))).collect()] == [1, 0, 0]
+
+
+def test_segments_by_batches(spark):
+    """Pieces that Arrow batches cut; documents of one piece need no table, and no piece is a group joined again with its rows."""
+    rows = [(f"d{d}", at, (at * 7 + d) % 23) for d in range(3) for at in range(40 + 90 * d)]
+    df = spark.createDataFrame(rows, "d string, at long, w int").repartition(3)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        cut = scans.segments(df, "d", "at", "w", 50, 2, 64)
+        got = {(x["d"], x["at"]): x["segment"] for x in cut.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    want, count, n = {}, 0, 0
+    for d, at, w in rows:
+        count, n = (0, 0) if at == 0 else (count, n)
+        want[d, at], count = n, count + w
+        count, n = (2, n + 1) if count >= 50 else (count, n)
+    assert got == want
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 1
