@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators import criteria, layout, notes, row_grammar, scans
 from foliant.plans.bindings import ORACLE_SQL, _criteria_lines, query
+from foliant.sources.scratch import Scratch
 
 # ---------------------------------------------------------------- lines made of events
 
@@ -77,9 +78,10 @@ CHAINS_SQL = f"""chains AS (SELECT o.doc, o.page, o.pos, o.marks, f.slots, f.hel
 records AS (SELECT doc, page, pos, marks, list_filter(list_transform(range(1, 9), lambda i: CASE WHEN coalesce(held[i], '') <> '' AND chain[i] = slots[i] THEN (i - 1) || ':' || held[i] END), lambda v: v IS NOT NULL) AS levels FROM chains)"""
 
 
-def _records(read):
+def _records(read, cut=lambda df: df):
+    """``cut`` writes what many later steps read."""
     lines = _lines(read)
-    marked = notes.with_marks(lines, _bound(lines), "doc", "pos", notes.numbers_of(F.col("numbers"))).withColumn("title", F.when(F.col("kind") == "heading", F.col("name")))
+    marked = cut(notes.with_marks(lines, _bound(lines), "doc", "pos", notes.numbers_of(F.col("numbers"))).withColumn("title", F.when(F.col("kind") == "heading", F.col("name"))))
     rows = scans.slot_fill(marked, ["doc"], "pos", "depth", "title", ["marks"]).where("kind = 'row'")
     return rows.withColumn("levels", notes.inherited(F.col("slots"), scans.with_leaf(F.col("slots"), F.col("depth"), F.col("name"))))
 
@@ -122,8 +124,11 @@ SELECT r.doc, r.pos, coalesce(l.p, l.g, 'See Application Task/Area Notes: ' || l
 FROM refs r LEFT JOIN looked l USING (doc, pos) LEFT JOIN whole w USING (doc)""")
 def footnotes(read):
     """Each row's notes: of its page, else of its document, else the numbers; all notes where no row has a number."""
-    records = _records(read).withColumn("refs", F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform("levels", lambda v: v["marks"])), F.col("marks")))))
-    return notes.resolved(records.select("doc", "page", "pos", "refs"), _notes(read), "doc", "page", "pos", "refs").select("doc", "pos", "footnotes", "general_notes")
+    with Scratch(read("events").sparkSession) as scratch:
+        refs = F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform("levels", lambda v: v["marks"])), F.col("marks"))))
+        records = scratch.table(_records(read, scratch.table).select("doc", "page", "pos", refs.alias("refs")))
+        found = notes.resolved(records, scratch.table(_notes(read)), "doc", "page", "pos", "refs")
+        return scratch.result(found.select("doc", "pos", "footnotes", "general_notes"))
 
 
 # ---------------------------------------------------------------- lines of documents

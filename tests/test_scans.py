@@ -5,7 +5,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from foliant.operators import scans
+from foliant.operators import relational, scans
+from foliant.plans import catalogue
 
 
 def lines(seed, n_docs=5, most=60):
@@ -131,3 +132,16 @@ def test_segments_by_batches(spark):
         count, n = (2, n + 1) if count >= 50 else (count, n)
     assert got == want
     assert cut._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 1
+
+
+def test_tasks_of_pairs_grow_with_the_rows(spark):
+    df = spark.range(1000).selectExpr("id div 5 as basket", "id % 5 * 7 as item")
+    pairs = relational.cooccurrence(df, "basket", "item", per_task=100)
+    assert "RepartitionByExpression [item_a" in (plan := pairs._jdf.queryExecution().optimizedPlan().toString()) and plan.count(", 11") >= 2
+    assert {(x["item_a"], x["item_b"]): x["together"] for x in pairs.collect()} == {(7 * a, 7 * b): 200 for b in range(5) for a in range(b)}
+
+
+def test_footnotes_read_each_step_once(spark):
+    """Steps that several others read are written once, so the last plan holds no step again."""
+    plan = catalogue.QUERIES["footnotes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
