@@ -155,8 +155,13 @@ def word_windows(df: DataFrame, text: str, size: int = 350, overlap: int = 40, l
     return out.withColumn("n_chunk_words", F.size("__c")).withColumn("chunk", F.array_join("__c", " ")).drop("__c")
 
 
-def cooccurrence(df: DataFrame, basket: str, item: str) -> DataFrame:
-    """Pairs of items that stand in the same baskets, with the number of these."""
-    items = df.select(basket, item).distinct()
+PER_TASK = 1 << 18
+
+
+def cooccurrence(df: DataFrame, basket: str, item: str, per_task: int = PER_TASK) -> DataFrame:
+    """Pairs of items that stand in the same baskets, with the number of these. The number of tasks grows with the rows, so that a task's pairs don't."""
+    n = 1 + df.count() // per_task
+    items = df.select(basket, item).repartition(n, basket).distinct()
     a, b = items.withColumnRenamed(item, "item_a"), items.withColumnRenamed(item, "item_b")
-    return a.join(b, basket).where("item_a < item_b").groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("together"))
+    pairs = a.join(b, basket).where("item_a < item_b").select("item_a", "item_b")
+    return pairs.repartition(n, "item_a", "item_b").groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("together"))
