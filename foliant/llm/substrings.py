@@ -9,7 +9,8 @@ equal anchors. Neighbouring windows mostly have the same one, and such a run of
 
 1. Anchors that one document alone has are done: only ids and hashes are shuffled to find them.
 2. The others' pieces are cut from the texts. Equal pieces become one, with the smallest id; an anchor with more than
-   ``CROWD`` pieces (a phrase within ever different words) has its pieces cut into windows, which go by their own hash.
+   ``CROWD`` pieces (a phrase within ever different words) has these cut into windows, which go by their own hash; what is
+   found for them comes back to the piece, and other anchors' pieces and the documents' rows are not written again.
 3. A shard (``SHARD`` words on average) builds an FM-index of its pieces and streams them through it from their ends. Where
    the matching statistics reach 13 words, the rows found are all that start with the window: the
    smallest id among these rows is the window's.
@@ -110,11 +111,15 @@ def _cut(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _by_window(crowded: DataFrame, window: int) -> DataFrame:
-    """Pieces as single windows, which go by the hash of their words."""
-    w = F.split("piece", " ")
-    each = crowded.select("doc_id", "h", "first", w.alias("w"), F.posexplode(F.sequence(F.lit(1), F.col("more") + 1)).alias("k", "at"))
-    piece = F.array_join(F.slice("w", F.col("at"), window), " ")
-    return each.select(piece.alias("piece"), F.xxhash64(piece).alias("route"), "doc_id", "h", (F.col("first") + F.col("k")).cast("int").alias("first"), F.lit(0).alias("more"))
+    """The windows of distinct pieces: keys of the piece, its number of windows less one, place in it, words and smallest id."""
+    each = _keyed(crowded).select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), "low", "more", F.split("piece", " ").alias("w"), F.explode(F.sequence(F.lit(0), F.col("more"))).alias("at"))
+    return each.select("p1", "p2", "more", "at", F.array_join(F.slice("w", F.col("at") + 1, window), " ").alias("piece"), "low")
+
+
+def _of_pieces(windows: DataFrame, least: DataFrame) -> DataFrame:
+    """k1, k2, least of the pieces that ``windows`` are of, but those of one window: these have its keys, and so a row in ``least``."""
+    found = _keyed(windows.where("more > 0")).join(least, ["k1", "k2"]).select("p1", "p2", F.struct("at", F.col("least")[0].alias("x")).alias("found"))
+    return found.groupBy(F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(F.expr("transform(array_sort(collect_list(found)), f -> f.x)").alias("least"))
 
 
 def least_ids(texts: list[list[bytes]], ids: np.ndarray, window: int) -> list[np.ndarray]:
@@ -134,7 +139,7 @@ def least_ids(texts: list[list[bytes]], ids: np.ndarray, window: int) -> list[np
     return [x[: x.size - window + 1] for x in np.split(out, ends[:-1])] if len(texts) else []
 
 
-def _search(distinct: DataFrame, n_shards: int, window: int) -> DataFrame:
+def _search(distinct: DataFrame, window: int) -> DataFrame:
     """k1, k2, least: for each distinct piece the smallest id of each of its windows."""
 
     def run(shard: pa.Table) -> pa.Table:
@@ -142,8 +147,9 @@ def _search(distinct: DataFrame, n_shards: int, window: int) -> DataFrame:
         found = least_ids(texts, shard["low"].to_numpy(), window)
         return pa.table({"k1": shard["k1"], "k2": shard["k2"], "least": pa.array(found, pa.list_(pa.int64()))})
 
-    sharded = distinct.withColumn("shard", F.pmod("route", F.lit(n_shards)))
-    return sharded.groupBy("shard").applyInArrow(run, "k1 long, k2 long, least array<long>")
+    words = distinct.agg(F.sum(F.col("more") + window)).first()[0] or 0
+    sharded = _keyed(distinct).withColumn("shard", F.pmod("route", F.lit(1 + words // SHARD)))
+    return materialize(sharded.groupBy("shard").applyInArrow(run, "k1 long, k2 long, least array<long>"))
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -159,20 +165,21 @@ def shared_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     discard(anchors, shared)
     cut = materialize(_cut(docs.join(wanted, "doc_id"), window, gram))
     discard(wanted)
-    count_of = lambda rows: rows.groupBy("piece", "route").agg(F.min("doc_id").alias("low"), F.max("more").alias("more"))
-    distinct = materialize(count_of(cut))
+    distinct = materialize(cut.groupBy("piece", "route").agg(F.min("doc_id").alias("low"), F.max("more").alias("more")))
     crowded = materialize(distinct.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("route"))
     if crowded.limit(1).count():
-        split = materialize(cut.join(crowded, "route", "left_anti").unionByName(_by_window(cut.join(crowded, "route"), window)))
-        discard(cut, distinct)
-        cut, distinct = split, materialize(count_of(split))
-    words = distinct.agg(F.sum(F.col("more") + window)).first()[0] or 0
-    least = materialize(_search(_keyed(distinct), 1 + words // SHARD, window))
+        windows = materialize(_by_window(distinct.join(crowded, "route"), window))
+        alone = materialize(windows.groupBy("piece").agg(F.min("low").alias("low")).select("piece", F.xxhash64("piece").alias("route"), "low", F.lit(0).alias("more")))
+        written = [_search(distinct.join(crowded, "route", "left_anti"), window), _search(alone, window), windows]
+        discard(alone)
+        least = written[0].unionByName(written[1]).unionByName(_of_pieces(windows, written[1]))
+    else:
+        written = [least := _search(distinct, window)]
     discard(distinct, crowded)
     placed = _keyed(cut).drop("piece", "route", "more").join(least, ["k1", "k2"])
     lost = placed.select("doc_id", "h", F.expr("filter(transform(least, (x, i) -> if(x < doc_id, first + i, null)), x -> x is not null)").alias("starts"))
     out = materialize(lost.where(F.size("starts") > 0).groupBy("doc_id", "h").agg(F.flatten(F.collect_list("starts")).alias("starts")))
-    discard(cut, least)
+    discard(cut, *written)
     return out
 
 

@@ -1,13 +1,14 @@
 """Removal of shared word windows against brute force and its SQL, with small shards and crowded anchors too."""
 
 import hashlib
+import itertools
 import random
 import re
 
 import duckdb
 import pytest
 
-from foliant.llm import registry, substrings
+from foliant.llm import common, registry, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -74,3 +75,31 @@ def test_no_rows(spark, no_documents):
 def test_odd_documents(spark, odd_documents):
     got = substrings.remove_shared_windows(odd_documents).collect()
     assert len(got) == odd_documents.count() and all(x["n_removed"] == 0 for x in got)
+
+
+def test_a_crowded_anchor_costs_its_own_windows_alone(spark, monkeypatch):
+    fresh = map("a{}".format, itertools.count())
+    passages = [" ".join(f"p{k}w{i}" for i in range(60)) for k in range(20)]
+    rows = [(k * 20 + j, p) for k, p in enumerate(passages) for j in range(20)]
+    line = [f"line{i}" for i in range(12)]
+    around = lambda: itertools.islice(fresh, 10)
+    rows += [(1000 + k, " ".join([*around(), *line, *around()])) for k in range(60)]
+    rows += [(i + 500, t) for i, t in rows[-60::7]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def removed(crowd):
+        texts = []
+
+        def write(df):
+            out = common.materialize(df)
+            texts.append(out.count() if "piece" in df.columns else 0)
+            return out
+
+        monkeypatch.setattr(substrings, "CROWD", crowd)
+        monkeypatch.setattr(substrings, "materialize", write)
+        got = substrings.remove_shared_windows(docs).select("doc_id", "n_removed", "kept").collect()
+        return by(map(tuple, got)), sum(texts)
+
+    (plain, few), (split, more) = removed(1000), removed(30)
+    assert split == plain and sum(x[1] > 0 for x in plain) == 20 * 19 + 9
+    assert few > 20 * 20 and 0 < more - few < 60 * 9 * 2
