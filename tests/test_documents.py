@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -192,6 +193,52 @@ def test_layout_sends_no_item_twice(spark):
     assert "FlatMap" not in plan(layout.layout_lines(items))
 
 
+def test_layout_sends_packs(spark, tmp_path):
+    """What the query shuffles is less than the texts, however many items they make; the lines have all of them."""
+    r = random.Random(3)
+    texts = ["\n".join(" ".join("".join(r.choices("etaoinshrdlu", k=r.randint(2, 9))) for _ in range(12)) for _ in range(120)) for _ in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def sent():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before = sent()
+    got = sorted(catalogue.QUERIES["layout_lines"](spark, str(tmp_path)).collect(), key=lambda x: (x["page"], x["line_no"]))
+    for d, text in enumerate(texts):
+        assert "".join(x["text"] for x in got if x["doc_id"] == str(d)).replace(" ", "") == "".join(text.split())
+    assert 0 < sum(n for stage, n in sent().items() if stage not in before) < sum(map(len, texts))
+
+
+def test_layout_of_odd_items(spark):
+    """Lines divide where column_splits says, in whatever order items come: without a place, on pages of two widths, without document or page."""
+    r, rows, nan = random.Random(9), [], float("nan")
+    for d in [f"d{i}" for i in range(25)] + [None]:
+        for p in r.sample([None, -1, 1, 2, 3, 6, 7], 4):
+            width, n, gap = r.choice([612.0, 595.3, 400.0, None, nan]), r.choice([1, 29, 30, 60, 120]), r.choice([0, 10, 13, 20, 60])
+            middle = width / 2 if width and width == width else 300.0
+            for k in range(n):
+                x = r.uniform(20, middle - gap / 2 - 60) if k % 2 else r.uniform(middle + gap / 2, middle * 2 - 30)
+                w = r.uniform(5, max(6, middle - gap / 2 - x)) if k % 2 else r.uniform(5, 100)
+                x, w = (r.choice([x] * 9 + [None, nan, -50.0]), r.choice([w] * 9 + [None, nan, -20.0])) if n == 120 else (x, w)
+                rows.append((d, p, k, f"w{k}", x, 100.0, w, 10.0, "f", r.choice([width, 500.0]) if n == 120 else width, r.choice([792.0, 800.0])))
+    schema = "doc_id string, page int, item_no int, text string, x double, y double, width double, font_size double, font_name string, page_width double, page_height double"
+    got = spark.createDataFrame(rows, schema)
+    r.shuffle(rows)
+    lines = layout.layout_lines(got).collect()
+    assert sorted(map(repr, lines)) == sorted(map(repr, layout.layout_lines(spark.createDataFrame(rows, schema)).collect()))
+    splits = {(s["doc_id"], s["page"]): s["split"] for s in layout.column_splits(layout.sized(got)).collect()}
+    want, found = {}, {}
+    for d, p, _, text, x, *_ in rows:
+        want.setdefault((d, p), (set(), set()))[x is not None and x >= splits.get((d, p), math.inf)].add(text)
+    for x in sorted(lines, key=lambda x: x["line_no"]):
+        found.setdefault((x["doc_id"], x["page"]), []).append(set(re.findall(r"w\d+", x["text"])))
+    # all items of a page are at one height, so that a column is a line
+    assert found == {page: [words for words in sides if words] for page, sides in want.items()} and len(splits) > 10
+
+
 def test_chunks_and_tables_from_streams(spark):
     """Documents and pages that Arrow batches cut; none is a group of its own in Python."""
     docs = {f"d{d}": [(n // 40 + 1, n, "Table A-1: data" if n % 20 == 0 else "General Notes" if n % 33 == 0 else f"{n // 9}.1 Heading of it" if n % 50 == 7 else " ".join(f"w{d}x{k}" for k in range(n % 13)) or None) for n in range(150 + 90 * d)] for d in range(4)}
